@@ -61,8 +61,16 @@ def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision; the same pair gives the same number wherever it is computed."""
-    return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+    """Row by row, in double precision; products are added in the order of the dimensions, so that the same pair gives
+    the same number wherever it is computed."""
+    return _dot(a, b) / (np.sqrt(_dot(a, a)) * np.sqrt(_dot(b, b)))
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        out += a[:, i] * b[:, i]
+    return out
 
 
 class Block:
@@ -172,5 +180,5 @@ with usable as (
     list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) as score
   from usable q join usable c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
 ), ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs)
-select query_id, cast(rank as integer) as rank, vec_id, round(score, 9) as score from ranked where rank <= 5
+select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 5
 """

@@ -57,4 +57,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_mixture, op3_toxicity, op4_simhash, op5_neighbours, op6_chat, op7_quality, op8_language_model, op9_html, op10_decontamination, pipeline)}
 
-ORACLES = {"op6_chat": chat.ORACLE}
+ORACLES = {"op5_neighbours": neighbours.ORACLE, "op6_chat": chat.ORACLE}

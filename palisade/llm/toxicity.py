@@ -29,15 +29,15 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .decontaminate import words_of
 
-FEATURES, MAX_TRAIN, FOLDS, RIDGE, THRESHOLD = 256, 20_000, 4, 1.0, 0.5
-TYPICAL, LEAST_ROWS = 8.0, 5  # log odds that make a term typical; rows a feature must occur in
+FEATURES, MAX_TRAIN, FOLDS, RIDGE, THRESHOLD = 256, 20_000, 4, 0.3, 0.4
+TYPICAL, LEAST_ROWS = 8.0, 3  # log odds that make a term typical; rows a feature must occur in
 CHAIN = ("mention", "repeated", "toxic")
 
 
 def indicators(text: bytes | None) -> set[bytes]:
-    """Words, and their first four and five bytes marked as beginnings."""
+    """Words, and their first four to six bytes marked as beginnings."""
     words = set(words_of(text))
-    return words | {b"^" + w[:4] for w in words if len(w) > 4} | {b"^" + w[:5] for w in words if len(w) > 5}
+    return words.union(*({b"^" + w[:n] for w in words if len(w) > n} for n in (4, 5, 6)))
 
 
 @dataclass
