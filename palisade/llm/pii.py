@@ -55,6 +55,11 @@ PATTERN = "|".join(
 _DAYS, _DAYS_LEFT, _DAYS_RIGHT = 146_097, 189, 773  # the days of 400 years, as a product
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, and standing once in the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _digest(key: str, kind: Column, turn: Column, *parts: Column) -> Column:
     """A keyed pseudorandom number below 2^60."""
     text = F.concat_ws("|", F.lit(key), kind, turn.cast("string"), *[p.cast("string") for p in parts])
@@ -64,41 +69,41 @@ def _digest(key: str, kind: Column, turn: Column, *parts: Column) -> Column:
 def feistel(key: str, kind: Column, left: Column, right: Column, size_left: Column, size_right: Column) -> Column:
     """Struct ``(l, r)``: a permutation of the pairs below the two sizes."""
 
-    def turn(acc, i):
-        l, r = acc["l"], acc["r"]
-        even = i % 2 == 0
-        return F.struct(
-            F.when(even, (l + _digest(key, kind, i, r) % size_left) % size_left).otherwise(l).alias("l"),
-            F.when(even, r).otherwise((r + _digest(key, kind, i, l) % size_right) % size_right).alias("r"),
-        )
+    def network(s):
+        def turn(acc, i):
+            l, r = acc["l"], acc["r"]
+            even = i % 2 == 0
+            size = F.when(even, s["m"]).otherwise(s["n"])
+            moved = (F.when(even, l).otherwise(r) + _digest(key, s["kind"], i, F.when(even, r).otherwise(l)) % size) % size
+            return F.struct(F.when(even, moved).otherwise(l).alias("l"), F.when(even, r).otherwise(moved).alias("r"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(s["l"].alias("l"), s["r"].alias("r")), turn)
 
-    start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn)
+    fields = {"l": left, "r": right, "m": size_left, "n": size_right}
+    return _let(F.struct(*[v.cast("long").alias(k) for k, v in fields.items()], kind.alias("kind")), network)
 
 
 def feistel_text(key: str, kind: Column, text: Column, letters: int = 26) -> Column:
     """A permutation of the strings with the same pattern of digits, capitals, small letters and other characters."""
-    half = F.floor(F.length(text) / 2).cast("int")
 
     def shifted(x, other, i):
         def one(c, at):
-            code, by = F.ascii(c), _digest(key, kind, i, at, F.lower(other))
-            return (
-                F.when(c.between("0", "9"), F.char(48 + (code - 48 + by % 10) % 10))
-                .when(c.between("a", "z"), F.char(97 + (code - 97 + by % letters) % letters))
-                .when(c.between("A", "Z"), F.char(65 + (code - 65 + by % letters) % letters))
-                .otherwise(c)
-            )
+            first = F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).when(c.between("A", "Z"), 65)
+            return _let(first, lambda f: F.when(f.isNull(), c).otherwise(F.char(f + (F.ascii(c) - f + _digest(key, kind, i, at, F.lower(other)) % F.when(f == 48, 10).otherwise(letters)) % F.when(f == 48, 10).otherwise(letters))))
 
-        return F.array_join(F.transform(F.split(x, "", -1), lambda c, at: F.when(c == "", c).otherwise(one(c, at))), "")
+        return F.when(x == "", x).otherwise(F.array_join(F.transform(F.split(x, ""), one), ""))
 
     def turn(acc, i):
         even = i % 2 == 0
-        return F.struct(F.when(even, shifted(acc["l"], acc["r"], i)).otherwise(acc["l"]).alias("l"), F.when(even, acc["r"]).otherwise(shifted(acc["r"], acc["l"], i)).alias("r"))
+        moved = shifted(F.when(even, acc["l"]).otherwise(acc["r"]), F.when(even, acc["r"]).otherwise(acc["l"]), i)
+        return _let(moved, lambda m: F.struct(F.when(even, m).otherwise(acc["l"]).alias("l"), F.when(even, acc["r"]).otherwise(m).alias("r")))
 
-    start = F.struct(F.substring(text, F.lit(1), half).alias("l"), F.substring(text, half + 1, F.length(text)).alias("r"))
-    done = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn)
-    return F.concat(done["l"], done["r"])
+    def network(t):
+        half = F.floor(F.length(t) / 2).cast("int")
+        start = F.struct(F.substring(t, F.lit(1), half).alias("l"), F.substring(t, half + 1, F.length(t)).alias("r"))
+        return _let(F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn), lambda d: F.concat(d["l"], d["r"]))
+
+    return _let(text, network)
 
 
 def _digits(text: Column) -> Column:
@@ -107,94 +112,110 @@ def _digits(text: Column) -> Column:
 
 def _refill(form: Column, digits: Column) -> Column:
     """``form`` with its digits replaced, in order."""
-    chars = F.split(form, "")
     place = lambda i: F.length(_digits(F.substring(form, F.lit(1), i + 1)))
-    return F.array_join(F.transform(chars, lambda c, i: F.when(c.between("0", "9"), F.substring(digits, place(i), F.lit(1))).otherwise(c)), "")
+    return _let(digits, lambda d: F.array_join(F.transform(F.split(form, ""), lambda c, i: F.when(c.between("0", "9"), F.substring(d, place(i), F.lit(1))).otherwise(c)), ""))
 
 
 def _luhn_sum(digits: Column, doubled_from: int) -> Column:
     """Sum of the digits, every second one doubled, counted from the right; ``doubled_from`` 0: the last one is."""
-    values = F.transform(F.reverse(F.split(digits, "")), lambda c, i: F.when(i % 2 == doubled_from, (c.cast("int") * 2) % 10 + F.floor(c.cast("int") / 5).cast("int")).otherwise(c.cast("int")))
-    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+    value = lambda c, i: F.when(i % 2 == doubled_from, (c.cast("int") * 2) % 10 + F.floor(c.cast("int") / 5).cast("int")).otherwise(c.cast("int"))
+    return F.aggregate(F.transform(F.reverse(F.split(digits, "")), value), F.lit(0), lambda a, x: a + x)
 
 
 def _numeric(key: str, kind: str, digits: Column) -> Column:
     """A permutation of the digit strings of one length (2 to 18)."""
-    n = F.length(digits)
-    a = F.floor(n / 2).cast("int")
-    b = n - a
-    size = lambda k: F.pow(F.lit(10.0), k).cast("long")
-    done = feistel(key, F.concat(F.lit(kind), n.cast("string")), F.substring(digits, F.lit(1), a), F.substring(digits, a + 1, b), size(a), size(b))
-    return F.concat(F.lpad(done["l"].cast("string"), a, "0"), F.lpad(done["r"].cast("string"), b, "0"))
+
+    def permuted(s):
+        d, a, b = s["d"], s["a"], s["b"]
+        size = lambda k: F.pow(F.lit(10.0), k)
+        done = feistel(key, F.concat(F.lit(kind), (a + b).cast("string")), F.substring(d, F.lit(1), a), F.substring(d, a + 1, b), size(a), size(b))
+        return _let(done, lambda x: F.concat(F.lpad(x["l"].cast("string"), a, "0"), F.lpad(x["r"].cast("string"), b, "0")))
+
+    return _let(digits, lambda d: _let(F.struct(d.alias("d"), F.floor(F.length(d) / 2).cast("int").alias("a"), F.ceil(F.length(d) / 2).cast("int").alias("b")), permuted))
 
 
 def _card(key: str, m: Column) -> Column:
-    digits = _digits(m)
-    body = _numeric(key, "card", F.substring(digits, F.lit(1), F.length(digits) - 1))
-    check = (10 - _luhn_sum(body, 0) % 10) % 10
-    return F.when(_luhn_sum(digits, 1) % 10 == 0, _refill(m, F.concat(body, check.cast("string"))))
+    def new(d):
+        body = _numeric(key, "card", F.substring(d, F.lit(1), F.length(d) - 1))
+        whole = _let(body, lambda b: F.concat(b, ((10 - _luhn_sum(b, 0) % 10) % 10).cast("string")))
+        return F.when(_luhn_sum(d, 1) % 10 == 0, _refill(m, whole))
+
+    return _let(_digits(m), new)
 
 
 def _phone(key: str, m: Column) -> Column:
-    digits = _digits(m)
-    n = F.length(digits)
-    kept = F.greatest(n - 10, F.lit(0))
-    return F.when(n.between(8, 15), _refill(m, F.concat(F.substring(digits, F.lit(1), kept), _numeric(key, "phone", F.substring(digits, kept + 1, n)))))
+    def new(d):
+        kept = F.greatest(F.length(d) - 10, F.lit(0))
+        return F.when(F.length(d).between(8, 15), _refill(m, F.concat(F.substring(d, F.lit(1), kept), _numeric(key, "phone", F.substring(d, kept + 1, F.length(d))))))
+
+    return _let(_digits(m), new)
 
 
 def _ssn(key: str, m: Column) -> Column:
-    part = [F.substring(m, a, n).cast("int") for a, n in ((1, 3), (5, 2), (8, 4))]
-    valid = part[0].between(1, 899) & (part[0] != 666) & (part[1] > 0) & (part[2] > 0)
-    area = part[0] - F.when(part[0] > 666, 2).otherwise(1)
-    done = feistel(key, F.lit("ssn"), area * 99 + part[1] - 1, part[2] - 1, F.lit(898 * 99), F.lit(9999))
-    index = F.floor(done["l"] / 99)
-    out = [index + F.when(index + 1 >= 666, 2).otherwise(1), done["l"] % 99 + 1, done["r"] + 1]
-    return F.when(valid, F.concat_ws("-", *[F.lpad(x.cast("string"), n, "0") for x, n in zip(out, (3, 2, 4))]))
+    def new(p):
+        valid = p["a"].between(1, 899) & (p["a"] != 666) & (p["g"] > 0) & (p["s"] > 0)
+        area = p["a"] - F.when(p["a"] > 666, 2).otherwise(1)
+        done = feistel(key, F.lit("ssn"), area * 99 + p["g"] - 1, p["s"] - 1, F.lit(898 * 99), F.lit(9999))
+        text = lambda d: F.concat_ws("-", *[F.lpad(x.cast("string"), n, "0") for x, n in zip((F.floor(d["l"] / 99) + F.when(d["l"] >= 665 * 99, 2).otherwise(1), d["l"] % 99 + 1, d["r"] + 1), (3, 2, 4))])
+        return F.when(valid, _let(done, text))
+
+    return _let(F.struct(*[F.substring(m, at, n).cast("int").alias(k) for k, at, n in (("a", 1, 3), ("g", 5, 2), ("s", 8, 4))]), new)
 
 
 def _mod97(text: Column) -> Column:
     value = lambda c: F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
-    return F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: (a * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97)
+    return F.aggregate(F.transform(F.split(text, ""), value), F.lit(0), lambda a, v: (a * F.when(v > 9, 100).otherwise(10) + v) % 97)
 
 
 def _iban(key: str, m: Column) -> Column:
     country, rest = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.length(m))
     valid = _mod97(F.concat(rest, F.substring(m, 1, 4))) == 1
     new = feistel_text(key, F.concat(F.lit("iban"), country), rest)
-    check = 98 - _mod97(F.concat(new, country, F.lit("00")))
-    return F.when(valid, F.concat(country, F.lpad(check.cast("string"), 2, "0"), new))
+    return F.when(valid, _let(new, lambda n: F.concat(country, F.lpad((98 - _mod97(F.concat(n, country, F.lit("00")))).cast("string"), 2, "0"), n)))
 
 
 def _date(key: str, m: Column) -> Column:
     mark = F.when(m.contains("-"), "-").when(m.contains("/"), "/").otherwise(".")
-    parts = F.split(m, r"[-/.]")
-    x, y, z = (parts[i].cast("int") for i in range(3))
+    first = F.lit("1800-01-01").cast("date")
 
     def fits(year, month, day):
         leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
         last = F.when(month.isin(4, 6, 9, 11), 30).when(month == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
         return year.between(1800, 2199) & month.between(1, 12) & (day >= 1) & (day <= last)
 
-    american = fits(z, x, y)
-    order = F.when(mark == "-", F.when(fits(x, y, z), "ymd")).when(mark == "/", F.when(american, "mdy").when(fits(z, y, x), "dmy")).when(fits(z, y, x), "dmy")
-    date = F.when(order == "ymd", F.make_date(x, y, z)).when(order == "mdy", F.make_date(z, x, y)).when(order == "dmy", F.make_date(z, y, x))
-    first = F.lit("1800-01-01").cast("date")
-    day = F.date_diff(date, first)
-    done = feistel(key, F.lit("date"), F.floor(day / _DAYS_RIGHT), day % _DAYS_RIGHT, F.lit(_DAYS_LEFT), F.lit(_DAYS_RIGHT))
-    new = F.date_add(first, (done["l"] * _DAYS_RIGHT + done["r"]).cast("int"))
-    pad = F.length(parts[0]) + F.length(parts[1]) + F.length(parts[2]) == 8
-    two = lambda v: F.when(pad, F.lpad(v.cast("string"), 2, "0")).otherwise(v.cast("string"))
-    d, mo, ye = two(F.dayofmonth(new)), two(F.month(new)), F.year(new).cast("string")
-    return F.when(order == "ymd", F.concat_ws("-", ye, mo, d)).when(order == "mdy", F.concat_ws("/", mo, d, ye)).when(order == "dmy", F.concat(d, mark, mo, mark, ye))
+    def ordered(p):
+        """Year, month and day, and the order they stand in (null if it is no date)."""
+        parts = [p[i].cast("int") for i in range(3)]
+        in_order = F.when(mark == "-", "ymd").when((mark == "/") & fits(parts[2], parts[0], parts[1]), "mdy").otherwise("dmy")
+        pad = F.length(p[0]) + F.length(p[1]) + F.length(p[2]) == 8
+        pick = lambda o, ymd, mdy, dmy: F.when(o == "ymd", parts[ymd]).when(o == "mdy", parts[mdy]).otherwise(parts[dmy])
+        return _let(in_order, lambda o: new(F.struct(o.alias("o"), pad.alias("pad"), pick(o, 0, 2, 2).alias("y"), pick(o, 1, 0, 1).alias("m"), pick(o, 2, 1, 0).alias("d"))))
+
+    def new(value):
+        def moved(s):
+            day = F.date_diff(F.make_date(s["y"], s["m"], s["d"]), first)
+            done = _let(day, lambda d: feistel(key, F.lit("date"), F.floor(d / _DAYS_RIGHT), d % _DAYS_RIGHT, F.lit(_DAYS_LEFT), F.lit(_DAYS_RIGHT)))
+            date = _let(done, lambda x: F.date_add(first, (x["l"] * _DAYS_RIGHT + x["r"]).cast("int")))
+            return F.when(fits(s["y"], s["m"], s["d"]), _let(date, lambda n: shown(s, n)))
+
+        return _let(value, moved)
+
+    def shown(s, n):
+        two = lambda v: F.when(s["pad"], F.lpad(v.cast("string"), 2, "0")).otherwise(v.cast("string"))
+        parts = F.struct(two(F.dayofmonth(n)).alias("d"), two(F.month(n)).alias("m"), F.year(n).cast("string").alias("y"))
+        return _let(parts, lambda p: F.when(s["o"] == "ymd", F.concat_ws("-", p["y"], p["m"], p["d"])).when(s["o"] == "mdy", F.concat_ws("/", p["m"], p["d"], p["y"])).otherwise(F.concat(p["d"], mark, p["m"], mark, p["y"])))
+
+    return _let(F.split(m, r"[-/.]"), ordered)
 
 
 def _ip(key: str, m: Column) -> Column:
-    parts = F.split(m, r"\.")
-    o = [parts[i].cast("int") for i in range(4)]
-    valid = (o[0] <= 255) & (o[1] <= 255) & (o[2] <= 255) & (o[3] <= 255)
-    done = feistel(key, F.lit("ip"), o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536))
-    out = [F.floor(done["l"] / 256), done["l"] % 256, F.floor(done["r"] / 256), done["r"] % 256]
-    return F.when(valid, F.concat_ws(".", *[x.cast("string") for x in out]))
+    def new(o):
+        valid = F.array_max(o) <= 255
+        done = feistel(key, F.lit("ip"), o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536))
+        text = lambda d: F.concat_ws(".", *[x.cast("string") for x in (F.floor(d["l"] / 256), d["l"] % 256, F.floor(d["r"] / 256), d["r"] % 256)])
+        return F.when(valid, _let(done, text))
+
+    return _let(F.transform(F.split(m, r"\."), lambda x: x.cast("int")), new)
 
 
 def _email(key: str, m: Column) -> Column:
