@@ -188,7 +188,8 @@ def taken(docs: DataFrame, weights: dict | None = None) -> DataFrame:
     times = slots(docs.sparkSession, plan).groupBy("source_no", "block").agg(F.count("*").alias("times"))
     parts = placed.where("size > 0").select("source_no", "start", F.explode(_parts()).alias("p")).select("source_no", "start", "p.block", "p.n")
     # source and first word name a document that has words
-    words = parts.join(times, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
+    # the planner takes the drawn slots for a small table; a merge join keeps them from being broadcast
+    words = parts.join(times.hint("merge"), ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
     held = placed.where("size > 0").join(words, ["source_no", "start"], "left")
     none = placed.where("size = 0").withColumn("taken", F.lit(None).cast("long"))
     out = held.unionByName(none)
@@ -210,6 +211,6 @@ def mixed(docs: DataFrame, weights: dict | None = None) -> DataFrame:
     cut = held.select("source_no", "source_of", "start", "doc_id", F.explode(cut).alias("p"))
     packed = cut.groupBy("source_no", "p.block").agg(F.first("source_of").alias("source"), F.array_sort(F.collect_list(F.struct("start", "doc_id", "p.text"))).alias("parts"))
     drawn = slots(docs.sparkSession, plan)
-    return drawn.join(packed, ["source_no", "block"]).select(
+    return drawn.hint("merge").join(packed, ["source_no", "block"]).select(
         "shard", "slot", "source", "block", F.transform("parts", lambda p: p["doc_id"]).alias("doc_ids"), F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("text")
     )
