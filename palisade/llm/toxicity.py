@@ -149,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Chain
             some = [len(indicators(t) & typical) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(some, pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "y", "typical", "x"])
 
-    rows = taught.mapInArrow(encode, "doc_id long, y int, typical int, x binary").orderBy("doc_id", "x").toArrow()
+    rows = taught.mapInArrow(encode, "doc_id long, y int, typical int, x binary").toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("x", "ascending")])  # so that reruns agree to the last bit
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.uint8).reshape(-1, width).astype(float)
     x = np.hstack([x, np.ones((len(x), 1))])
     y, terms, ids = (rows[c].to_numpy() for c in ("y", "typical", "doc_id"))
