@@ -30,8 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_batches
+
 STRIDE, RANK, SKETCH, SEED = 16, 128, 256, 7
-MIN_COSINE, COPIED, PARAPHRASED, ANSWERED, SLACK = 0.5, 0.7, 0.55, 0.85, 1.25
+MIN_COSINE, COPIED, PARAPHRASED, ANSWERED, SLACK = 0.43, 0.7, 0.55, 0.85, 1.25
 SHORT, LEAST = 10, 4
 ITEM_BLOCK, MAX_TERMS = 5_000, 1 << 15
 CHUNK = 1 << 16  # words in hand at once
@@ -277,7 +279,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, columns unchanged, in which no benchmark item is found."""
-    blocks, at = ready(docs, benchmark), docs.columns.index("text")
+    blocks, names = ready(docs, benchmark), docs.columns
+    at = names.index("text")
 
     def run(batches):
         for batch in batches:
@@ -286,6 +289,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for items in (b.value for b in blocks):
                 for i, *_ in items.search(texts):
                     clean[i] = False
-            yield batch.filter(pa.array(clean))
+            yield batch.filter(pa.array(clean)).rename_columns(names)
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return map_batches(docs, run, T.StructType(docs.schema.fields))

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_batches
+
 DEPTH = 200
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -327,4 +329,5 @@ def extracted(pages: DataFrame, column: str = "html", to: str = "text") -> DataF
             texts = pa.array([rendered(t.as_py()) for t in batch.column(len(others))], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=schema.names)
 
-    return pages.select(*others, F.col(column).cast("string")).mapInArrow(run, schema)
+    named = [F.col("`" + c.replace("`", "``") + "`") for c in others]
+    return map_batches(pages.select(*named, F.col(column).cast("string").alias("__page")), run, schema)

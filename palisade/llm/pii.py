@@ -49,7 +49,7 @@ PATTERN = "|".join(
         r"(?<![0-9A-Za-z.])(?:\d{1,3}\.){3}\d{1,3}(?![0-9A-Za-z])(?!\.\d)",
         r"(?<![0-9A-Za-z-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z-])",
         rf"(?<![0-9A-Za-z+])(?:{_PHONE})(?![0-9A-Za-z])",
-        r"(?<![0-9A-Za-z])\d(?:[ -]?\d){12,18}(?![0-9A-Za-z])",
+        r"(?<![0-9A-Za-z])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5})(?![0-9A-Za-z])",
     ]
 )
 _DAYS, _DAYS_LEFT, _DAYS_RIGHT = 146_097, 189, 773  # the days of 400 years, as a product

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import map_batches, materialise
 
 NAMES = (
     "log_bytes log_words log_lines mean_word long_words lower upper digit space sentence_marks other_marks symbols "
@@ -223,6 +223,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
         for batch in batches:
             texts = batch.column(names.index("text")).cast(pa.large_binary())
             stats = np.array([statistics(t.as_py()) for t in texts]).reshape(-1, len(NAMES)).astype(float)
-            yield batch.filter(pa.array(model.probability(stats) >= threshold))
+            yield batch.filter(pa.array(model.probability(stats) >= threshold)).rename_columns(names)
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return map_batches(docs, run, T.StructType(docs.schema.fields))

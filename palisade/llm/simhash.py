@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, materialise, spread_key
+from .common import columns, components, map_batches, materialise, spread_key
 
 SEED = 42
 TILE = 4096
@@ -58,19 +58,20 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 
 
 def fingerprints(docs: DataFrame, width: int = 3, carry: bool = False) -> DataFrame:
-    """``(doc_id, fp)``, or with ``carry`` all columns and ``fp``; it holds the 64 bits as a signed long."""
+    """``(doc_id, fp)``, or with ``carry`` all columns and ``__fp``; it holds the 64 bits as a signed long."""
     docs = docs if carry else docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())])
-    schema = schema if carry else T.StructType([schema["doc_id"], schema["fp"]])
+    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
+    schema = schema if carry else T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
+    at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary())
+            texts = batch.column(at).cast(pa.large_binary())
             fps = np.fromiter((fingerprint(t.as_py(), width) for t in texts), np.uint64, len(texts))
-            kept = batch.columns if carry else [batch.column("doc_id")]
+            kept = batch.columns if carry else [batch.column(0)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(fps.view(np.int64))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,13 +184,13 @@ def keep_one(docs: DataFrame, width: int = 3, radius: int = 2, tile: int = TILE)
     of = _members(prints, radius, tile)
     groups = prints.join(of, "fp").select("doc_id", "component_id")
     dropped = materialise(groups.where("doc_id <> component_id").select("doc_id"), "dropped")
-    kept = docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti").select(*columns(docs))
     if prints.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
     if prints.where("doc_id is null").limit(1).count():
         nameless = fingerprints(docs.where("doc_id is null"), width, carry=True)
-        nameless = nameless.join(of.where("component_id is null").select("fp", "group"), "fp").dropDuplicates(["group"])
-        kept = kept.unionByName(nameless.select(*docs.columns))
+        named = of.where("component_id is null").select(F.col("fp").alias("__fp"), F.col("group").alias("__group"))
+        kept = kept.unionByName(nameless.join(named, "__fp").dropDuplicates(["__group"]).select(*columns(docs)))
     return kept
 
 
