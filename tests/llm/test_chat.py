@@ -47,15 +47,36 @@ def test_round_trip(spark):
     for r in whole:
         bare = r.formatted.replace(chat.START, "").replace(chat.SEPARATOR, "").replace("<|im_end|>", "")
         assert not re.search(r"[<\[](?:" + chat.CONTROL + ")", bare)
-        for s in r.loss_spans:
-            assert 0 <= s.start and s.start + s.length <= len(r.formatted)
+        assert sum(x.skip + x.keep for x in r.loss_runs) == len(r.formatted) - len(chat.END)
 
 
 def test_neighbouring_turns_of_a_role_share_a_message(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c")]
     r = chat.formatted(conversations(spark, rows)).first()
     assert r.formatted == "<|im_start|>user\na<|im_sep|>b<|im_end|>\n<|im_start|>assistant\nc<|im_end|>\n"
-    assert [r.formatted[s.start : s.start + s.length] for s in r.loss_spans] == ["c"]
+    assert under(r) == ["", "", "c"]
+
+
+def under(r):
+    """The pieces of the formatted text under its loss mask."""
+    at, out = 0, []
+    for x in r.loss_runs:
+        out.append(r.formatted[at + x.skip : at + x.skip + x.keep])
+        at += x.skip + x.keep
+    return out
+
+
+def test_mask_covers_the_assistant_texts(spark):
+    rows = [(1, t, r, x) for t, (r, x) in enumerate([("user", "a"), ("assistant", "<s>b"), ("assistant", ""), ("system", "c"), ("assistant", "d😀e")])]
+    assert under(chat.formatted(conversations(spark, rows)).first()) == ["", "<\\s>b", "", "", "d😀e"]
+
+
+def test_a_conversation_of_many_turns(spark):
+    n = 40_000
+    turns = spark.range(n).selectExpr("1L conv_id", "id turn", "if(id % 3 = 0, 'user', 'assistant') role", "concat('text ', id, ' </s> ', repeat('x', 200)) text")
+    row = chat.digest(turns).first()
+    rows = [(t, "user" if t % 3 == 0 else "assistant", f"text {t} </s> " + "x" * 200) for t in range(n)]
+    assert (row.n_turns, row.turns_sha256, row.loss_chars, row.loss_sha256) == slow(rows)
 
 
 def test_against_sql(spark, tmp_path):
