@@ -46,9 +46,10 @@ def coverage(hits: DataFrame, reach: int | None = None) -> DataFrame:
     placed = hits.where(first > 0).select("gid", "seq", "offset", F.explode(run).alias("r"))
     low = F.lit(0) if reach is None else F.greatest(F.col("r.start") - reach, F.lit(0))
     high = F.length("seq") - 1 if reach is None else F.least(F.col("r.stop") + reach, F.length("seq") - 1)
-    bases = placed.select("gid", "seq", (F.col("offset") - F.col("r.start")).alias("shift"), F.explode(F.sequence(low, high)).alias("i"))
-    letter = F.upper(F.substring("seq", F.col("i") + 1, F.lit(1)))
-    letter = F.when(letter.isin("C", "G", "T"), letter).otherwise("A")
+    # one cut and one split a repeat: picking bases out of the read one by one would walk it again for each
+    letters = F.split(F.upper(F.substring("seq", low + 1, high - low + 1)), "")
+    bases = placed.select("gid", (F.col("offset") - F.col("r.start") + low).alias("shift"), F.posexplode(letters).alias("i", "letter"))
+    letter = F.when(F.col("letter").isin("C", "G", "T"), F.col("letter")).otherwise("A")
     return bases.select("gid", (F.col("shift") + F.col("i")).alias("pos"), letter.alias("base")).groupBy("gid", "pos", "base").agg(F.count("*").alias("n"))
 
 

@@ -571,7 +571,7 @@ def merge_conflicts(t):
     return report.conflicts(report.merged([t.groups, t.groups.where("pos % 3 = 0")]))
 
 
-@query("select gid from groups g where (select count(*) from spacers s where s.gid = g.gid) >= 380 and coalesce((select count(*) from flankers f where f.gid = g.gid), 2) >= 2 and not exists (select 1 from (select gid, count(*) n from flankers group by gid) f where f.gid = g.gid and n < 2)")
+@query("select gid from groups g where (select count(*) from spacers s where s.gid = g.gid) >= 380 and not exists (select 1 from (select gid, count(*) n from flankers group by gid) f where f.gid = g.gid and n < 2)")
 def filter_min_spacers(t):
     return report.filtered(t.groups, t.drs, t.spacers, t.flankers, min_spacers=380, min_flankers=2).select("gid")
 
