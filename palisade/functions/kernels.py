@@ -219,13 +219,20 @@ def _complement(s: str) -> str:
     return s.translate(str.maketrans("ACGTacgt", "TGCAtgca"))[::-1]
 
 
-def offset_to_master(variant: str, master: str) -> tuple[int | None, bool]:
-    """``(offset, reversed)`` of a repeat variant along the master; no offset if it fits too badly or both ways alike."""
+def offset_to_master(variant: str, master: str, longer: str | None = None) -> tuple[int | None, bool]:
+    """``(offset, reversed)`` of a repeat variant along the master; no offset if it fits too badly.
+
+    A variant that fits both ways alike is tried once more as ``longer``, which has two more bases on either side; if that
+    doesn't decide, it has no offset.
+    """
     if variant == master:
         return 0, False
     ahead, back = align(variant, master), align(_complement(variant), master)
     if ahead[0] == back[0]:
-        return None, False
+        if not longer:
+            return None, False
+        offset, turned = offset_to_master(longer, master)
+        return (None if offset is None else offset + 2), turned
     (score, offset), turned = (ahead, False) if ahead[0] > back[0] else (back, True)
     return (None, False) if score < 5 or score < len(variant) / 2 else (offset, turned)
 

@@ -36,6 +36,14 @@ def stray_caps(edges: DataFrame, coverage: DataFrame) -> DataFrame:
     return jumping.unionByName(lost.select("family", "node")).distinct()
 
 
+def caps_at(edges: DataFrame, strict: bool = False) -> DataFrame:
+    """``(family, node, caps)``: how many neighbours of each node are caps (rank 1); ``strict`` leaves out nodes that have
+    other neighbours too."""
+    rank = graph.ranks(edges).select("family", F.col("node").alias("dst"), (F.col("total_rank") == 1).alias("cap"))
+    out = edges.join(rank, ["family", "dst"]).groupBy("family", F.col("src").alias("node")).agg(F.count_if("cap").alias("caps"), F.bool_and("cap").alias("only"))
+    return out.where("only" if strict else "caps > 0").select("family", "node", "caps")
+
+
 def one_sided(edges: DataFrame) -> DataFrame:
     """``(family, node)``: nodes of rank 2 without one inner and one jumping edge."""
     return graph.ranks(edges).where("total_rank = 2 and inner_rank <> 1").select("family", "node")
@@ -172,5 +180,10 @@ def confident(held: DataFrame, min_coverage: int = 3) -> DataFrame:
     return length_statistics(held.where("not flanker")).where((F.col("n") >= min_coverage) & (F.col("deviation") <= MAX_SPACER_DEVIATION)).select("family", "n", "deviation")
 
 
+def spacer_counts(held: DataFrame) -> DataFrame:
+    """``(family, spacers, flankers)``."""
+    return held.groupBy("family").agg(F.count_if(~F.col("flanker")).alias("spacers"), F.count_if("flanker").alias("flankers"))
+
+
 def coverage_limits(held: DataFrame) -> DataFrame:
     return held.groupBy("family").agg(F.min("coverage").alias("low"), F.max("coverage").alias("high"))

@@ -16,20 +16,32 @@ from .durable import written
 
 def aligned(groups: DataFrame) -> DataFrame:
     """``(gid, variant, ord, master, offset, reversed)``: variants along their group's master; those without a clear
-    place are dropped."""
-    pairs = groups.join(masters(groups), "gid").select("gid", "variant", "ord", "master")
+    place are dropped.  A column ``longer`` of ``groups``, the variant with two more bases on either side, decides
+    between the strands where the variant alone doesn't."""
+    longer = F.col("longer") if "longer" in groups.columns else F.lit(None).cast("string").alias("longer")
+    pairs = groups.join(masters(groups), "gid").select("gid", "variant", "ord", "master", longer)
 
     def run(batches):
         for batch in batches:
-            found = [kernels.offset_to_master(v, m) for v, m in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())]
+            found = [kernels.offset_to_master(v, m, x) for v, m, x in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4)))]
             offsets, turned = pa.array([o for o, _ in found], pa.int32()), pa.array([t for _, t in found])
-            yield pa.RecordBatch.from_arrays([*batch.columns, offsets, turned], names=["gid", "variant", "ord", "master", "offset", "reversed"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], offsets, turned], names=["gid", "variant", "ord", "master", "offset", "reversed"])
 
     kind = dict(pairs.dtypes)
     schema = f"gid {kind['gid']}, variant string, ord {kind['ord']}, master string, offset int, reversed boolean"
     return pairs.mapInArrow(run, schema).where("offset is not null")
 
 
+def shown_variants(hits: DataFrame) -> DataFrame:
+    """``(gid, variant, ord, longer)``: the variants of each group, the first read that shows each, and the variant with
+    its neighbours from the first read that has two bases on either side."""
+    at = F.expr("filter(repeats, r -> substring(seq, r.start + 1, r.stop - r.start + 1) = variant and r.start >= 2 and r.stop + 2 < length(seq))")
+    near = hits.withColumn("r", F.get(at, F.lit(0)))
+    wide = F.when(F.col("r").isNotNull(), F.substring("seq", F.col("r.start") - 1, F.col("r.stop") - F.col("r.start") + 5))
+    seen = near.select("gid", "variant", "read_id", wide.alias("wide"))
+    return seen.groupBy("gid", "variant").agg(F.min("read_id").alias("ord"), F.min_by("wide", F.when(F.col("wide").isNotNull(), F.col("read_id"))).alias("longer"))
+
+
 def coverage(hits: DataFrame, reach: int | None = None) -> DataFrame:
     """``(gid, pos, base, n)``: how often each base lies at each place along the master.
 
@@ -119,8 +131,7 @@ def consensus(hits: DataFrame, p: Params = Params(), max_rounds: int = 12) -> tu
     """
     hits = hits.withColumn("gid", F.col("gid").cast("string"))
     for _ in range(max_rounds):
-        groups = hits.groupBy("gid", "variant").agg(F.min("read_id").alias("ord"))
-        placed = written(aligned(groups), "aligned")
+        placed = written(aligned(written(shown_variants(hits), "variants")), "aligned")
         held = hits.join(placed.select("gid", "variant", "offset", "reversed"), ["gid", "variant"])
         held = _turned(held)
         held = written(held, "placed")

@@ -78,6 +78,15 @@ def checks(hits: DataFrame, p: Params = Params()) -> DataFrame:
     return out.withColumn("lengths_fit", fits)
 
 
+def short_checks(hits: DataFrame, p: Params = Params()) -> DataFrame:
+    """``(read_id, n, apart, lengths_fit)`` of reads with one spacer, which is compared without its last base."""
+    one = hits.where(F.size("repeats") == 2)
+    n = F.length(S.spacer_without_last("seq", "repeats", 0))
+    repeat = F.element_at("repeats", 1)["stop"] - F.element_at("repeats", 1)["start"] + 1
+    out = one.select("read_id", n.alias("n"), F.abs(n - repeat).alias("apart"))
+    return out.withColumn("lengths_fit", F.col("n").between(p.min_spacer, p.max_spacer) & (F.col("apart") <= MAX_REPEAT_SPACER_LENGTH_DIFFERENCE))
+
+
 def without_partials(hits: DataFrame) -> DataFrame:
     """Drops repeats that touch an end of their read."""
     inside = F.filter("repeats", lambda r: (r["start"] > 0) & (r["stop"] < F.length("seq") - 1))

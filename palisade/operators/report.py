@@ -51,6 +51,20 @@ def totals(rows: DataFrame) -> DataFrame:
     return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in sums], *[stats.int_mean(c).alias(c) for c in means]).select(*ROW)
 
 
+def tabular(rows: DataFrame, separator: str = "\t") -> DataFrame:
+    """``(gid, line)``: a line of text for each row of :func:`statistics`."""
+    return rows.select("gid", F.concat_ws(separator, "gid", "drseq", *[F.col(c).cast("string") for c in ROW]).alias("line"))
+
+
+def header(separator: str = "\t") -> str:
+    return separator.join(["gid", "drseq", *ROW])
+
+
+def run_stamp(moment):
+    """Day, month, year and time of day as file names carry them."""
+    return F.date_format(moment, "dd_MM_yyyy_HHmmss")
+
+
 def coverage_histogram(spacers: DataFrame) -> DataFrame:
     """``(gid, histogram)``: ``cov:count`` in ascending order, each followed by a comma."""
     counted = spacers.groupBy("gid", "cov").agg(F.count("*").alias("n"))

@@ -667,3 +667,67 @@ def nested_result(t):
     back = arrays_xml.nested(tables).withColumn("assembly", F.lit(None).cast("struct<contig:array<struct<_cid:string>>>"))
     s = back.select(F.col("_gid").alias("gid"), F.explode("data.spacers.spacer").alias("s")).select("gid", F.col("s._spid").alias("spid"), F.explode("s.source").alias("o"))
     return s.groupBy("gid").agg(F.count_distinct("o._soid").alias("sources"), F.count_distinct("spid").alias("spacers"))
+
+
+# the rest of the inventory
+
+
+@query("select read_id, cast(31 as integer) as n, cast(1 as integer) as apart, true as lengths_fit from reads where n_spacers = 1")
+def short_read_checks(t):
+    return detect.short_checks(t.hits)
+
+
+_EDGES = "(select * from inner_edges union all select * from jumps)"
+_RANK = f"(select family, src, count(*) as rank from {_EDGES} group by 1, 2)"
+
+
+@query(f"select e.family, e.src as node, cast(count(*) filter (where r.rank = 1) as bigint) as caps from {_EDGES} e join {_RANK} r on r.family = e.family and r.src = e.dst group by 1, 2 having count(*) filter (where r.rank = 1) > 0")
+def caps_at(t):
+    return clean.caps_at(graph.inner_edges(t.held).unionByName(t.jumps))
+
+
+@query(f"select e.family, e.src as node, count(*) as caps from {_EDGES} e join {_RANK} r on r.family = e.family and r.src = e.dst group by 1, 2 having bool_and(r.rank = 1)")
+def caps_only(t):
+    return clean.caps_at(graph.inner_edges(t.held).unionByName(t.jumps), strict=True)
+
+
+@query(f"select family, cast(count(*) filter (where coverage % 4 > 0) as bigint) as spacers, cast(count(*) filter (where coverage % 4 = 0) as bigint) as flankers from held group by family")
+def spacer_counts(t):
+    return clean.spacer_counts(t.held.withColumn("flanker", F.col("coverage") % 4 == 0))
+
+
+@query("select gid, concat_ws('|', gid, drseq, drs, dr_length, spacers, spacer_length, coverage, flankers, flanker_length, reads) as line from stat")
+def stat_tabular(t):
+    return report.tabular(report.statistics(t.groups, t.drs, t.spacers, t.flankers, t.sources), "|")
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%d_%m_%Y_%H%M%S') as stamp from orders")
+def run_stamps(t):
+    return t.table("orders").select("o_orderkey", report.run_stamp("o_orderdate").alias("stamp"))
+
+
+@query("""select cast(family as integer) as gid, substr(dr, 1, cast(14 + family as bigint)) as true_dr from families where 14 + family between 23 and 47
+  and (select max(n) from (select count(*) as n from range(1, cast(14 + family - 2 as bigint)) u(i) group by substr(dr, i, 3))) / cast(14 + family - 3 as double) <= 0.23
+  and greatest(length(replace(substr(dr, 1, cast(14 + family as bigint)), 'A', '')), 0) >= 0""")
+def true_dr_gates(t):
+    return consensus.gated(t.families.select(F.col("family").alias("gid"), F.expr("substring(dr, 1, 14 + family)").alias("true_dr")))
+
+
+@query("select * from spacer_edges where src_low || ':' || src_high < 'T' and dst_low || ':' || dst_high < 'T'")
+def detach_spacers(t):
+    named = F.explode(F.array(F.concat_ws(":", "src_low", "src_high"), F.concat_ws(":", "dst_low", "dst_high")))
+    gone = t.spacer_edges.select("family", named.alias("spacer")).where("spacer >= 'T'").distinct()
+    return clean.without_spacers(t.spacer_edges, gone)
+
+
+@query("""select family as gid, chr(9) || node || ' [ shape = ' || case when is_forward then 'circle' else 'square' end || ' label = "' || node || '_' || coverage || '" ]' as line from
+  (select family, node, count(*) as coverage, arg_min(side, (read_id, idx, side)) = 0 as is_forward from (select family, first as node, read_id, idx, 0 as side from given where first is not null union all select family, last, read_id, idx, 1 from given where last is not null) group by family, node)
+  union all select family, chr(9) || src || ' -> ' || dst || case when etype = 'JF' then ' [ style = dashed ]' else '' end from (select * from inner_edges union all select * from jumps) where etype in ('F', 'JF')""")
+def kmer_graph_lines(t):
+    return dot.kmer_lines(graph.nodes(t.given), graph.inner_edges(t.held).unionByName(t.jumps))
+
+
+@query("select family, spacer, coverage, place from (select family, spacer, count(*) as coverage, cast(row_number() over (partition by family order by count(*) desc, spacer) as integer) as place from interior group by 1, 2) where place <= 5")
+def most_covered_spacers(t):
+    counted = t.interior.groupBy("family", "spacer").agg(F.count("*").alias("coverage"))
+    return counted.withColumn("place", F.expr("row_number() over (partition by family order by coverage desc, spacer)")).where("place <= 5")

@@ -70,4 +70,4 @@ def find_arrays(reads: DataFrame, p: Params = Params()) -> dict[str, DataFrame]:
     edges = clean.cleaned_spacers(graph.spacer_edges(table, nodes_left))
     named = clean.flankers(table)
     sure = clean.confident(named, p.min_coverage)
-    return {"hits": moved, "groups": true.join(sure.select(F.col("family").alias("gid")), "gid", "left_semi"), "spacers": named.join(sure.select("family"), "family", "left_semi"), "edges": edges, "contigs": clean.contigs(edges)}
+    return {"given": given, "hits": moved, "groups": true.join(sure.select(F.col("family").alias("gid")), "gid", "left_semi"), "spacers": named.join(sure.select("family"), "family", "left_semi"), "edges": edges, "contigs": clean.contigs(edges)}

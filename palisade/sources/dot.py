@@ -25,6 +25,14 @@ def node_lines(spacers: DataFrame, steps: int = 10) -> DataFrame:
     return spacers.select("gid", F.concat(F.lit("\t"), label, F.lit(" [ shape = "), shape, F.lit(' style = filled fillcolor = "#'), colour, F.lit('" ]')).alias("line"))
 
 
+def kmer_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(gid, line)`` of a k-mer graph: forward nodes are circles, others squares; each edge once, by its kind."""
+    shape = F.when(F.col("is_forward"), "circle").otherwise("square")
+    points = nodes.select(F.col("family").alias("gid"), F.concat(F.lit("\t"), "node", F.lit(" [ shape = "), shape, F.lit(' label = "'), "node", F.lit("_"), F.col("coverage").cast("string"), F.lit('" ]')).alias("line"))
+    ways = edges.where("etype in ('F', 'JF')").select(F.col("family").alias("gid"), F.concat(F.lit("\t"), "src", F.lit(" -> "), "dst", F.when(F.col("etype") == "JF", " [ style = dashed ]").otherwise("")).alias("line"))
+    return points.unionByName(ways)
+
+
 def edge_lines(edges: DataFrame) -> DataFrame:
     """``(gid, line)`` for ``edges(gid, src, dst)``."""
     return edges.select("gid", F.concat(F.lit("\t"), "src", F.lit(" -> "), "dst").alias("line"))

@@ -37,3 +37,44 @@ def test_components(spark):
     edges = spark.createDataFrame([("g", i, i + 1) for i in range(30)] + [("g", 50, 51), ("h", 3, 90)], "gid string, a long, b long")
     rows = {(r.gid, r.node): r.root for r in durable.components(edges).collect()}
     assert all(rows["g", i] == 0 for i in range(31)) and rows["g", 51] == 50 and rows["h", 90] == 3
+
+
+def test_files_and_command_line(spark, tmp_path, capsys):
+    from palisade.__main__ import main
+    from palisade.plans import output
+    from palisade.sources import arrays_xml
+
+    rnd = random.Random(6)
+    dna = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    repeats, spacers = [dna(30) for _ in range(2)], [[dna(33) for _ in range(8)] for _ in range(2)]
+    reads = spark.createDataFrame(list(planted(rnd, repeats, spacers, 120)), "read_id long, seq string")
+    found = flagship.find_arrays(reads)
+    output.write(found, reads, str(tmp_path / "out"))
+    t = arrays_xml.flattened(arrays_xml.read(spark, str(tmp_path / "out/result.xml")))
+    assert t["groups"].count() == 2 and t["drs"].count() == 2 and t["links"].count() > 0
+    assert t["spacers"].count() == found["spacers"].where("not flanker").count()
+    assert t["spacer_sources"].join(t["sources"], ["gid", "soid"], "left_anti").count() == 0
+    assert spark.read.text(str(tmp_path / "out/reads")).where("value like '>%'").count() == t["sources"].count()
+    xml = str(tmp_path / "out/result.xml")
+    assert main(["stat", xml, "--separator", "|"]) == 0
+    lines = capsys.readouterr().out.strip().split("\n")
+    assert lines[0].startswith("gid|drseq|") and [x.split("|")[0] for x in lines[1:]] == ["G1", "G2"]
+    assert main(["rm", xml, "--groups", "G1", "-o", str(tmp_path / "less")]) == 0
+    assert [r._gid for r in arrays_xml.read(spark, str(tmp_path / "less")).collect()] == ["G2"]
+    assert main(["merge", xml, str(tmp_path / "less"), "--sanitise", "-o", str(tmp_path / "more")]) == 0
+    assert sorted(r._gid for r in arrays_xml.read(spark, str(tmp_path / "more")).collect()) == ["G1", "G2", "G3"]
+    assert main(["filter", xml, "--coverage", "4", "-o", str(tmp_path / "deep")]) == 0
+    deep = arrays_xml.flattened(arrays_xml.read(spark, str(tmp_path / "deep")))
+    assert deep["spacers"].where("cov < 4").count() == 0 < deep["spacers"].count()
+    assert main(["extract", xml, "--drs", "-o", str(tmp_path / "dr")]) == 0
+    assert main(["nonsense"]) == 0
+    assert main(["reads", xml, "--group", "G1", "--contigs", "1"]) == 0 and capsys.readouterr().out.count("\n") > 0
+
+
+def test_longer_variants_decide_between_strands():
+    from palisade.functions import kernels
+
+    inner = "ACGTTACGTGGCCACGTAACGT"  # the same on both strands
+    master = "TTG" + inner + "CCATG"
+    assert kernels.offset_to_master(inner, master) == (None, False)
+    assert kernels.offset_to_master(inner, master, "TG" + inner + "CC") == (3, False)
