@@ -228,7 +228,7 @@ def _sketched(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray, in
 
     parts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "line int, data binary, n long")
     sketch, frequency, n = np.zeros((SKETCH, width)), np.zeros(width), 0
-    for r in parts.groupBy("line").applyInPandas(added, "line int, data binary, n long").toLocalIterator():
+    for r in parts.groupBy("line").applyInPandas(added, "line int, data binary, n long").collect():  # SKETCH vectors of at most MAX_TERMS sums
         if r.line < 0:
             frequency, n = np.frombuffer(r.data), r.n
         else:

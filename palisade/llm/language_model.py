@@ -13,7 +13,7 @@ with n(b) the number of different words before b.  A word never seen gets lambda
 
 Scale.  Texts are read three times and never shuffled.  Counts leave a task once for each chunk of words, already added
 up.  Files are in the folder that all executors share; their number follows the corpus, so each has about the same size.
-The driver sees sums, and the frequent words: at most ``8 * files`` of them.
+The driver sees sums, and the frequent words: those whose pairs would fill a file, so at most as many as files.
 
 Defined results: null text is empty; every text ends with an end token; null ids learn and are not held out; repeated
 rows are counted as often as they occur; an empty table gives no rows, and a model of nothing scores 0.
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import materialise, new_path
 
 CHUNK = 1_500_000  # words in hand at once
 DOCS_A_FILE, WORDS_A_FILE = 4096, 1_500_000
@@ -262,13 +262,13 @@ def _count_words(model: Model, train: DataFrame) -> None:
         return pd.DataFrame({"file": [key[0]], "n": [len(hashes)], "total": [int(first.sum())], "a": [top.astype("<i8").tobytes()], "b": [first[top].astype("<i8").tobytes()]})
 
     sizes, tops = np.zeros(1 << bits, np.int64), {}
-    for r in train.select("text").mapInArrow(run, "file int, a binary, b binary").groupBy("file").applyInPandas(merged, "file int, n long, total long, a binary, b binary").toLocalIterator():
+    for r in train.select("text").mapInArrow(run, "file int, a binary, b binary").groupBy("file").applyInPandas(merged, "file int, n long, total long, a binary, b binary").collect():
         sizes[r.file] = r.n
         model.total += r.total
         tops[r.file] = (np.frombuffer(r.a, "<i8"), np.frombuffer(r.b, "<i8"))
     model.sizes, model.types = sizes, int(sizes.sum())
     model.pair_bits = _power(model.total / WORDS_A_FILE, 0, 16)
-    offset, least = model.offsets(), max(1, model.total // (8 << model.pair_bits))
+    offset, least = model.offsets(), max(1, model.total >> model.pair_bits)
     # a word beyond this share is among its file's 64 most frequent unless that file alone has more than 64 of them
     model.frequent = {int(offset[k] + i): 0.0 for k, (at, n) in tops.items() for i, c in zip(at, n) if c >= least}
     model.frequent[model.types] = 0.0  # the start of a text
@@ -325,19 +325,20 @@ def _share_pairs(model: Model, spark) -> None:
                 sums = [np.add.reduceat(x, start) if n else np.zeros(0, np.int64) for x in (counts, kind == 1, kind == 2, kind == 3)]
                 sums = [s.astype(np.int64) for s in sums]
                 known = np.isin(first.astype(np.int64), hot)
-                yield pd.DataFrame({"file": [k], "m": [int((~known).sum())], "data": [np.vstack([first.astype(np.int64), *sums])[:, known].tobytes()]})
-                if known.any():
-                    first, start_, sums = first[~known], start, [s[~known] for s in sums]
+                parts = np.vstack([first.astype(np.int64), *sums])[:, known]
+                told = np.hstack([[[-1], [int((~known).sum())], [0], [0], [0]], parts])  # the file's own row, then frequent words
+                yield pd.DataFrame({"file": k, **dict(zip(("word", "c", "n1", "n2", "n3"), told))})
+                first, sums = first[~known], [s[~known] for s in sums]
                 weight = (d[1] * sums[1] + d[2] * sums[2] + d[3] * sums[3]) / np.maximum(sums[0], 1)
                 save(f"{folder}/backoff-{k}", [first.astype("<u8"), weight.astype("<f4"), sums[0].astype("<i8")])
 
-    rows = spark.range(0, files, 1, min(files, 200)).mapInPandas(run, "file int, m long, data binary")
-    sums: dict[int, np.ndarray] = {}
-    for r in rows.toLocalIterator():
-        model.pair_sizes[r.file, 1] = r.m
-        for column in np.frombuffer(r.data, np.int64).reshape(5, -1).T:
-            sums[int(column[0])] = sums.get(int(column[0]), 0) + column[1:]
-    totals = {a: int(s[0]) for a, s in sums.items()}
+    told = spark.range(0, files, 1, min(files, 200)).mapInPandas(run, "file int, word long, c long, n1 long, n2 long, n3 long")
+    told = materialise(told, "lm-sums")
+    for r in told.where("word < 0").select("file", "c").collect():
+        model.pair_sizes[r.file, 1] = r.c
+    names = ("c", "n1", "n2", "n3")
+    sums = {r.word: [r[n] for n in names] for r in told.where("word >= 0").groupBy("word").agg(*[F.sum(n).alias(n) for n in names]).collect()}
+    totals = {a: s[0] for a, s in sums.items()}
     model.frequent = {a: float(d[1] * s[1] + d[2] * s[2] + d[3] * s[3]) / s[0] for a, s in sums.items()}
     pair_sizes = model.pair_sizes
 
@@ -386,8 +387,6 @@ def train(docs: DataFrame) -> Model:
     docs = docs.select(F.col("text").cast("string"))
     _count_words(model, docs)
     model.starts = n
-    from .common import materialise
-
     told = materialise(_count_pairs(model, docs), "lm-counts")
     model.pair_sizes = np.zeros((1 << model.pair_bits, 2), np.int64)
     tally = np.zeros(5, np.int64)
@@ -405,7 +404,7 @@ def train(docs: DataFrame) -> Model:
         return pd.DataFrame({"n": [int(counts.sum())], "b": [_tally(counts).astype("<i8").tobytes()]})
 
     tally = np.zeros(5, np.int64)
-    for r in told.where("words >= 0").groupBy("words").applyInPandas(added, "n long, b binary").toLocalIterator():
+    for r in told.where("words >= 0").groupBy("words").applyInPandas(added, "n long, b binary").collect():
         model.continuations += r.n
         tally += np.frombuffer(r.b, "<i8")
     d = model.word_discounts = _discounts(tally[:4])

@@ -162,7 +162,7 @@ def fit(stats: DataFrame, labels: DataFrame, target: str = "quality", max_train:
         yield _pandas({"kind": [int(k) for k in sums], "data": [np.vstack([a, b]).tobytes() for a, b in sums.values()]})
 
     parts = [np.zeros((width + 1, width)) for _ in range(FOLDS)]
-    for r in train.mapInPandas(equations, "kind int, data binary").toLocalIterator():
+    for r in train.mapInPandas(equations, "kind int, data binary").collect():
         parts[r.kind] += np.frombuffer(r.data).reshape(width + 1, width)
 
     def solved(total: np.ndarray) -> np.ndarray:
