@@ -57,7 +57,20 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     costs only the tasks it was running."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what :func:`materialise` wrote for ``df``, once nothing will read it again."""
+    remove(df.sparkSession, getattr(df, "_written_to", None))
+
+
+def remove(spark: SparkSession, path: str | None) -> None:
+    if path:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def spread_key(col):
@@ -87,7 +100,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.select(spread_key("u").alias("k"), "v").join(low.select(spread_key("u").alias("k"), "m"), "k").where("v <> m")
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        kept = materialise(small.distinct(), "edges")
+        former, kept = kept, materialise(small.distinct(), "edges")
+        discard(former)
         now = _checksum(kept)
         if now == seen:
             break

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path
+from .common import materialise, new_path, remove
 
 CHUNK = 1_500_000  # words in hand at once
 DOCS_A_FILE, WORDS_A_FILE = 4096, 1_500_000
@@ -359,6 +359,9 @@ def _share_pairs(model: Model, spark) -> None:
                 yield pd.DataFrame({"file": [k]})
 
     spark.range(0, files, 1, min(files, 200)).mapInPandas(finish, "file int").count()
+    for k in range(files):  # scoring needs the shares alone
+        remove(spark, f"{folder}/pairs-{k}")
+        remove(spark, f"{folder}/backoff-{k}")
 
 
 def _batch(**columns) -> pa.RecordBatch:
