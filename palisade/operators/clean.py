@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..params import FLANKER_DEVIATIONS, MAX_SPACER_DEVIATION
 from . import graph
-from .durable import components, written
+from .durable import components, discard, written
 
 
 # node graph
@@ -64,13 +64,18 @@ def node_bubbles(edges: DataFrame, reads: DataFrame) -> DataFrame:
 
 def cleaned_nodes(edges: DataFrame, coverage: DataFrame, reads: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Edges after caps, one-sided nodes and bubbles have gone, round by round until none is left."""
+    ours = False
     for _ in range(max_rounds):
         rules = (lambda e: stray_caps(e, coverage), one_sided, lambda e: node_bubbles(e, reads))
         changed = False
         for rule in rules:
             gone = written(rule(edges), "gone")
             if gone.limit(1).count():
-                edges, changed = written(graph.without_nodes(edges, gone), "edges"), True
+                left = written(graph.without_nodes(edges, gone), "edges")
+                if ours:
+                    discard(edges)
+                edges, changed, ours = left, True, True
+            discard(gone)
         if not changed:
             return edges
     raise RuntimeError("the graph did not settle")
@@ -128,12 +133,17 @@ def cleaned_spacers(edges: DataFrame, coverage: DataFrame | None = None, max_rou
     """Edges after fur and spacers that aren't viable have gone (and bubbles, if ``coverage`` is given), until none is
     left."""
     rules = [fur, not_viable, *([lambda e: spacer_bubbles(e, coverage)] if coverage is not None else [])]
+    ours = False
     for _ in range(max_rounds):
         changed = False
         for rule in rules:
             gone = written(rule(edges), "gone")
             if gone.limit(1).count():
-                edges, changed = written(without_spacers(edges, gone), "edges"), True
+                left = written(without_spacers(edges, gone), "edges")
+                if ours:
+                    discard(edges)
+                edges, changed, ours = left, True, True
+            discard(gone)
         if not changed:
             return edges
     raise RuntimeError("the graph did not settle")

@@ -31,7 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str = "round") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/palisade/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what :func:`written` wrote for ``df``, once nothing will read it again."""
+    path, spark = getattr(df, "_written_to", None), df.sparkSession
+    if path:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def components(edges: DataFrame, key: str = "gid", max_rounds: int = 60) -> DataFrame:
@@ -41,13 +51,16 @@ def components(edges: DataFrame, key: str = "gid", max_rounds: int = 60) -> Data
     both = edges.select(key, "a", "b").unionByName(edges.select(key, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = written(both, "links")
     label = written(both.groupBy(key, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+    previous = label
     for _ in range(max_rounds):
         near = both.join(label.withColumnRenamed("node", "b"), [key, "b"]).groupBy(key, F.col("a").alias("node")).agg(F.min("root").alias("near"))
         lower = label.join(near, [key, "node"]).select(key, "node", F.least("root", "near").alias("next"), F.col("root").alias("was"))
         jump = label.select(key, F.col("node").alias("next"), F.col("root").alias("further"))
         moved = lower.join(jump, [key, "next"], "left").select(key, "node", F.least("next", F.coalesce("further", "next")).alias("root"), "was")
         moved = written(moved, "labels")
-        label = moved.drop("was")
+        discard(previous)
+        previous, label = moved, moved.drop("was")
         if not moved.where("root <> was").limit(1).count():
+            discard(both)
             return label
     raise RuntimeError("components did not settle")
