@@ -249,12 +249,12 @@ def item_blocks(benchmark: DataFrame, size: int = ITEM_BLOCK):
 
 
 def ready(docs: DataFrame, benchmark: DataFrame) -> list:
-    """Broadcasts of the solved item blocks."""
+    """The solved item blocks; they reach the tasks with the function that uses them, which Spark broadcasts."""
     out = []
     for items in item_blocks(benchmark):
         if items.keys:
             items.solve(*_sketched(docs, items))
-            out.append(docs.sparkSession.sparkContext.broadcast(items))
+            out.append(items)
     return out
 
 
@@ -268,7 +268,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts, keys, rows = [t.as_py() for t in batch.column(1).cast(pa.large_binary())], batch.column(0).to_pylist(), []
-            for items in (b.value for b in blocks):
+            for items in blocks:
                 rows += [(keys[i], items.keys[k], c, s, a, w) for i, k, c, s, a, w in items.search(texts)]
             columns = list(zip(*rows)) if rows else [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
@@ -286,7 +286,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for batch in batches:
             texts = [t.as_py() for t in batch.column(at).cast(pa.large_binary())]
             clean = np.ones(len(texts), bool)
-            for items in (b.value for b in blocks):
+            for items in blocks:
                 for i, *_ in items.search(texts):
                     clean[i] = False
             yield batch.filter(pa.array(clean)).rename_columns(names)

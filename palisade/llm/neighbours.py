@@ -122,10 +122,7 @@ def push(heap: list, score: float, key: int, k: int) -> None:
 
 
 def _searched(candidates: DataFrame, blocks: dict[int, Block], k: int) -> DataFrame:
-    held = candidates.sparkSession.sparkContext.broadcast(blocks)
-
     def run(batches):
-        blocks = held.value
         heaps = {n: [[] for _ in b.ids] for n, b in blocks.items()}
         for batch in batches:
             for lo in range(0, batch.num_rows, TILE):
