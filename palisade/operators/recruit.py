@@ -39,13 +39,13 @@ def matches(reads: DataFrame, patterns: DataFrame, limit: int = MAX_AUTOMATON) -
 
 
 def _by_automaton(reads: DataFrame, patterns: list[str]) -> DataFrame:
-    held = reads.sparkSession.sparkContext.broadcast(sorted(patterns))
+    patterns = sorted(patterns)
 
     def run(batches):
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
-        for p in held.value:
+        for p in patterns:
             automaton.add_word(p, p)
         automaton.make_automaton()
         for batch in batches:
