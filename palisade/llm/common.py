@@ -16,7 +16,15 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _own_dirs: dict[str, str] = {}
 
 
+#: Rows of an Arrow batch: texts are long, and both sides of a Python worker hold a batch whole.
+BATCH_ROWS = 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the corpus.  Sets the session's Arrow batches to at most ``BATCH_ROWS`` rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -36,7 +36,7 @@ STRIDE, RANK, SKETCH, SEED = 16, 128, 256, 7
 MIN_COSINE, COPIED, PARAPHRASED, ANSWERED, SLACK = 0.43, 0.7, 0.55, 0.85, 1.25
 SHORT, LEAST = 10, 4
 ITEM_BLOCK, MAX_TERMS = 5_000, 1 << 15
-CHUNK = 1 << 16  # words in hand at once
+CHUNK = 1 << 15  # words in hand at once
 
 _MARKS = bytes(x for x in range(128) if not chr(x).isalnum())
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _MARKS, b"abcdefghijklmnopqrstuvwxyz" + b" " * len(_MARKS))
@@ -210,7 +210,7 @@ def _sketched(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray, in
                 cells.append((mixed >> np.uint64(33)).astype(np.int64) % SKETCH * width + terms)
                 signs.append((mixed >> np.uint64(20) & np.uint64(1)).astype(np.float64) * 2 - 1)
                 held += len(at)
-                if held > 1 << 21:
+                if held > 1 << 20:
                     sketch += np.bincount(np.concatenate(cells), np.concatenate(signs), SKETCH * width)
                     cells, signs, held = [], [], 0
         if held:
