@@ -28,6 +28,7 @@ def arguments() -> argparse.ArgumentParser:
     verb("merge", "files", sanitise=bool)
     verb("sanitise", "files")
     verb("rm", "files", groups=str)
+    verb("draw", "files", groups=str)
     verb("reads", "files", group=str, contigs=str)
     return p
 
@@ -90,7 +91,10 @@ def main(argv: list[str]) -> int:
     elif a.verb == "merge":
         arrays_xml.write(df if not a.sanitise else _renumbered(df), a.out)
     elif a.verb == "sanitise":
-        arrays_xml.write(_renumbered(df), a.out)
+        arrays_xml.write(arrays_xml.nested(report.renamed(t)), a.out)
+    elif a.verb == "draw":
+        t = {k: report.wanted(v, report.group_ids(spark, a.groups)) for k, v in t.items()} if a.groups else t
+        output.graphs(t).select("gid", F.col("text").alias("value")).write.partitionBy("gid").text(a.out)
     elif a.verb == "rm":
         arrays_xml.write(df.join(report.group_ids(spark, a.groups or "").select(F.col("gid").alias("_gid")), "_gid", "left_anti").select(*df.columns), a.out)
     elif a.verb == "reads":

@@ -153,6 +153,30 @@ def sanitised(groups: DataFrame, spacers: DataFrame, drs: DataFrame, flankers: D
     return {"groups": named(groups), "spacers": named(sp), "drs": named(dr), "flankers": named(fl), "cspacers": named(inside)}
 
 
+def renamed(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """A whole result with new ids, as :func:`sanitised` gives them, in every table that refers to them."""
+    place = F.struct("gid", "pos").alias("pos")
+    flankers = t["flankers"].select("gid", "flid", "seq", place)
+    new = sanitised(t["groups"].select("gid", "drseq", F.col("gid").alias("pos")), t["spacers"], t["drs"], flankers, t["cspacers"].withColumn("pos", F.struct("cid", "pos")))
+    new = {k: written(v, k) for k, v in new.items()}
+    spids = new["spacers"].select("gid", "spid", "new_gid", "new_spid")
+    flids = new["flankers"].select("gid", "flid", "new_flid")
+    cids = new["cspacers"].select("gid", "cid", "new_cid").distinct()
+    gids = new["groups"].select("gid", "new_gid")
+    ends = spids.select("gid", F.col("spid").alias("target"), F.col("new_spid").alias("to")).unionByName(flids.select("gid", F.col("flid").alias("target"), F.col("new_flid").alias("to")))
+    links = t["links"].join(cids, ["gid", "cid"]).join(spids, ["gid", "spid"]).join(ends, ["gid", "target"])
+    return {
+        "groups": new["groups"].select(F.col("new_gid").alias("gid"), "drseq"),
+        "drs": new["drs"].select(F.col("new_gid").alias("gid"), F.col("new_drid").alias("drid"), "seq"),
+        "spacers": new["spacers"].select(F.col("new_gid").alias("gid"), F.col("new_spid").alias("spid"), "seq", "cov"),
+        "flankers": new["flankers"].select(F.col("new_gid").alias("gid"), F.col("new_flid").alias("flid"), "seq"),
+        "sources": t["sources"].join(gids, "gid").select(F.col("new_gid").alias("gid"), "soid", "accession"),
+        "spacer_sources": t["spacer_sources"].join(spids, ["gid", "spid"]).select(F.col("new_gid").alias("gid"), F.col("new_spid").alias("spid"), "soid"),
+        "cspacers": new["cspacers"].select(F.col("new_gid").alias("gid"), F.col("new_cid").alias("cid"), F.col("new_spid").alias("spid")),
+        "links": links.select(F.col("new_gid").alias("gid"), F.col("new_cid").alias("cid"), F.col("new_spid").alias("spid"), "kind", F.col("to").alias("target")),
+    }
+
+
 def removed(table: DataFrame, ids: DataFrame) -> DataFrame:
     return table.join(ids.select("gid"), "gid", "left_anti")
 

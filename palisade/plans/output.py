@@ -45,8 +45,31 @@ def write(found: dict[str, DataFrame], reads: DataFrame, path: str) -> None:
     arrays_xml.write(arrays_xml.nested(t), f"{path}/result.xml")
     support = t["sources"].select("gid", F.col("accession").cast("long").alias("read_id"))
     seqfile.write_groups(reads.select("read_id", "seq"), support, f"{path}/reads")
+    graphs(t).select("gid", F.col("text").alias("value")).write.partitionBy("gid").text(f"{path}/graphs")
+
+
+def graphs(t: dict[str, DataFrame]) -> DataFrame:
+    """``(gid, text)``: the spacer graph of each group, forward links only."""
+    flankers = t["flankers"].select("gid", F.col("flid").alias("spid"), "seq", F.lit(0).cast("long").alias("cov"), F.lit(True).alias("flanker"))
+    held = t["spacers"].select("gid", "spid", "seq", F.col("cov").cast("long").alias("cov"), F.lit(False).alias("flanker")).unionByName(flankers)
     limits = t["spacers"].groupBy("gid").agg(F.min("cov").cast("double").alias("low"), F.max("cov").cast("double").alias("high"))
-    held = t["spacers"].join(t["cspacers"].select("gid", "spid", F.expr("substring(cid, 2, 9)").alias("contig")), ["gid", "spid"], "left").join(limits, "gid")
-    nodes = dot.node_lines(held.withColumn("flanker", F.lit(False)))
-    edges = dot.edge_lines(t["links"].where("kind = 'fs'").select("gid", F.col("spid").alias("src"), F.col("target").alias("dst")))
-    dot.graph_text(nodes, edges).select("gid", F.col("text").alias("value")).write.partitionBy("gid").text(f"{path}/graphs")
+    contig = t["cspacers"].select("gid", "spid", F.regexp_replace("cid", "^C", "").alias("contig"))
+    nodes = dot.node_lines(held.join(contig, ["gid", "spid"], "left").join(limits, "gid"))
+    edges = dot.edge_lines(t["links"].where("kind in ('fs', 'ff')").select("gid", F.col("spid").alias("src"), F.col("target").alias("dst")))
+    return dot.graph_text(nodes, edges)
+
+
+def assembler_commands(kind: str, fasta: str, overlap: int, out: str) -> list[list[str]]:
+    """Command lines that hand selected reads to an external assembler, which must be installed: ``velvet`` or ``cap3``."""
+    if kind == "velvet":
+        return [["velveth", out, str(overlap), "-fasta", fasta], ["velvetg", out]]
+    if kind == "cap3":
+        return [["cap3", fasta, "-o", str(overlap)]]
+    raise ValueError("velvet or cap3")
+
+
+def assemble(kind: str, fasta: str, overlap: int, out: str) -> None:
+    import subprocess
+
+    for command in assembler_commands(kind, fasta, overlap, out):
+        subprocess.run(command, check=True)

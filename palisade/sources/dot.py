@@ -22,7 +22,7 @@ def node_lines(spacers: DataFrame, steps: int = 10) -> DataFrame:
     colour = S.heat_colour("cov", F.col("low"), F.col("high"), F.lit(float(steps)))
     label = spacer_label(F.col("spid"), F.col("seq"), F.col("cov"), F.col("flanker"), F.col("contig"))
     shape = F.when(F.col("flanker"), "diamond").otherwise("circle")
-    return spacers.select("gid", F.concat(F.lit("\t"), label, F.lit(" [ shape = "), shape, F.lit(' style = filled fillcolor = "#'), colour, F.lit('" ]')).alias("line"))
+    return spacers.select("gid", F.concat(F.lit("\t"), "spid", F.lit(' [ label = "'), label, F.lit('" shape = '), shape, F.lit(' style = filled fillcolor = "#'), colour, F.lit('" ]')).alias("line"))
 
 
 def kmer_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:

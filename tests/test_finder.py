@@ -66,6 +66,15 @@ def test_files_and_command_line(spark, tmp_path, capsys):
     assert main(["filter", xml, "--coverage", "4", "-o", str(tmp_path / "deep")]) == 0
     deep = arrays_xml.flattened(arrays_xml.read(spark, str(tmp_path / "deep")))
     assert deep["spacers"].where("cov < 4").count() == 0 < deep["spacers"].count()
+    assert main(["sanitise", xml, "-o", str(tmp_path / "clean")]) == 0
+    clean = arrays_xml.flattened(arrays_xml.read(spark, str(tmp_path / "clean")))
+    for name in ("groups", "spacers", "cspacers", "links", "spacer_sources"):
+        assert clean[name].count() == t[name].count(), name
+    spids = sorted(int(r.spid[2:]) for r in clean["spacers"].where("gid = 'G1'").collect())
+    assert spids == list(range(1, len(spids) + 1))
+    assert main(["draw", xml, "--groups", "G1", "-o", str(tmp_path / "drawn")]) == 0
+    drawn = spark.read.text(str(tmp_path / "drawn"), wholetext=True).collect()
+    assert len(drawn) == 1 and drawn[0].value.startswith("digraph") and " -> " in drawn[0].value
     assert main(["extract", xml, "--drs", "-o", str(tmp_path / "dr")]) == 0
     assert main(["nonsense"]) == 0
     assert main(["reads", xml, "--group", "G1", "--contigs", "1"]) == 0 and capsys.readouterr().out.count("\n") > 0
@@ -78,3 +87,10 @@ def test_longer_variants_decide_between_strands():
     master = "TTG" + inner + "CCATG"
     assert kernels.offset_to_master(inner, master) == (None, False)
     assert kernels.offset_to_master(inner, master, "TG" + inner + "CC") == (3, False)
+
+
+def test_assembler_commands():
+    from palisade.plans import output
+
+    assert output.assembler_commands("velvet", "r.fa", 38, "out") == [["velveth", "out", "38", "-fasta", "r.fa"], ["velvetg", "out"]]
+    assert output.assembler_commands("cap3", "r.fa", 38, "out")[0][:2] == ["cap3", "r.fa"]
