@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,8 +48,7 @@ def sized(docs: DataFrame) -> DataFrame:
 
 def targets(sizes: dict, weights: dict) -> dict:
     """Words to take of each source: shares by weight of the total, none above ``MAX_REPEAT`` times its size."""
-    out, left, total = {}, {s for s in sizes if sizes[s] > 0}, float(sum(sizes.values()))
-    out = {s: 0.0 for s in sizes}
+    out, left, total = {s: 0.0 for s in sizes}, {s for s in sizes if sizes[s] > 0}, float(sum(sizes.values()))
     while left:
         share = total / sum(weights[s] for s in left)
         full = {s for s in left if share * weights[s] > MAX_REPEAT * sizes[s]}
@@ -161,7 +159,9 @@ def prepared(docs: DataFrame, weights: dict | None = None) -> tuple[DataFrame, P
     rows that repeat id, source and text are numbered by ``copy``."""
     sizes = sized(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64("text").alias("row"), "text"))
     sizes = sizes.groupBy("doc_id", "source", "row", "size").agg(F.count("*").alias("copies"))
-    sizes = materialise(sizes.withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))), "sizes")
+    # in two steps, so that no array is long even if one row makes up a large part of the table
+    sizes = sizes.withColumn("from", F.explode(F.expr("sequence(1L, copies, 10000L)"))).withColumn("copy", F.explode(F.expr("sequence(from, least(copies, from + 9999))")))
+    sizes = materialise(sizes.select("doc_id", "source", "row", "size", "copy"), "sizes")
     totals = {r[0]: int(r[1] or 0) for r in sizes.groupBy("source").agg(F.sum("size")).collect()}
     plan = Plan(totals, weights)
     numbers = [(s, i, totals[s], float(plan.targets[s]), plan.lengths[i]) for i, s in enumerate(plan.sources)]
