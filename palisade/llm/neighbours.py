@@ -142,7 +142,8 @@ def _searched(candidates: DataFrame, blocks: dict[int, Block], k: int) -> DataFr
 def nearest(table: DataFrame, queries: DataFrame, k: int = K, block: int = QUERY_BLOCK) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` of each query's ``k`` nearest rows of ``table``; both hold ``vec_id`` and
     ``embedding``."""
-    wanted = queries.select(F.col("vec_id").cast("long"), "embedding").where("vec_id is not null and embedding is not null")
+    usable = "forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
+    wanted = queries.select(F.col("vec_id").cast("long"), "embedding").where("vec_id is not null and embedding is not null").where(usable)
     wanted = materialise(wanted.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
     candidates = table.select(F.col("vec_id").cast("long"), "embedding")
     parts = max(1, -(-wanted.count() // block))

@@ -61,7 +61,7 @@ def test_query_blocks(spark):
 
 def test_defined_cases(spark):
     rows = vectors(120, dims=4)
-    rows += [(7, rows[9][1]), (7, rows[7][1]), (50, rows[50][1]), (50, rows[3][1])]  # repeated ids
+    rows += [(7, rows[9][1]), (7, rows[7][1]), (50, rows[50][1]), (50, rows[3][1]), (50, [0.0] * 4), (50, [None, 1.0, 1.0, 1.0]), (50, [float('-inf')] * 4), (50, None)]  # repeated ids
     rows += [(200 + i, rows[0][1]) for i in range(9)]  # ties
     rows += [(300, None), (301, []), (302, [0.0] * 4), (303, [1.0, None, 0.0, 0.0]), (304, [float("nan"), 1.0, 0.0, 0.0]), (305, [float("inf"), 1.0, 0.0, 0.0]), (None, rows[1][1]), (350, [1.0, 2.0]), (351, [2.0, 1.0]), (400, [1e-30, 0.0, 0.0, 0.0])]
     same(found(N.digest(table(spark, rows))), slow(rows))
