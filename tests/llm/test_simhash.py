@@ -54,6 +54,15 @@ def test_fingerprints_and_components(spark):
         assert got == expected(rows)
 
 
+def test_finer_cells_give_the_same_links(spark, monkeypatch):
+    rows = texts(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "FINER", 0)
+    found = simhash.near_duplicates(docs).collect()
+    assert sorted(((r.doc_id, format(r.fp & (1 << 64) - 1, "016x"), r.component_id) for r in found), key=repr) == expected(rows)
+    assert (len(simhash._steps(4, 2)), len(simhash._steps(8, 2))) == (21, 73)
+
+
 def test_one_of_each_group_stays(spark):
     rows = texts()
     docs = spark.createDataFrame([(i, t, "a.b") for i, t in rows], ["doc_id", "text", "a.b"]).repartition(3)
