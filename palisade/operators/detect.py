@@ -37,6 +37,17 @@ def seed_hits(reads: DataFrame, p: Params = Params()) -> DataFrame:
     return found.where("place > 0").select("read_id", "seed_at", (F.col("area_at") + F.col("place") - 1).alias("hit_at"))
 
 
+def seeded(reads: DataFrame, p: Params = Params()) -> DataFrame:
+    """Reads with at least one seed hit; the search of a read ends with its first, and nothing is shuffled."""
+
+    def hit(j):
+        low = j + p.min_repeat + p.min_spacer
+        high = F.greatest(low, F.least(j + p.max_repeat + p.max_spacer + p.window, F.length("seq") - 1))
+        return F.contains(F.substring("seq", low + 1, high - low), F.substring("seq", j + 1, F.lit(p.window)))
+
+    return long_enough(reads, p).where(F.exists(F.sequence(F.lit(0), F.length("seq") - p.shortest_read, F.lit(p.stride)), hit))
+
+
 def first_seed_hits(reads: DataFrame, p: Params = Params()) -> DataFrame:
     """The leftmost seed hit of each read: an aggregate that combines before its shuffle."""
     return seed_hits(reads, p).groupBy("read_id").agg(F.min(F.struct("seed_at", "hit_at")).alias("m")).select("read_id", "m.seed_at", "m.hit_at")

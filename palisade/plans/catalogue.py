@@ -160,6 +160,11 @@ def seed_first_hit(t):
     return detect.first_seed_hits(t.reads).select("read_id", F.col("seed_at").cast("long").alias("seed_at"), F.col("hit_at").cast("long").alias("hit_at"))
 
 
+@query(f"select distinct read_id from {_SEEDS} where contains({_AREA}, substr(seq, j + 1, 8))")
+def seeded_reads(t):
+    return detect.seeded(t.reads).select("read_id")
+
+
 @query()
 def find_repeats(t):
     return detect.repeat_bearing(t.reads.select("read_id", "family", "seq")).select("read_id", "family", "repeat_len", F.to_json("repeats").alias("repeats"))

@@ -14,8 +14,7 @@ from .star import Star, sql
 def group_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of each repeat family: reads that hold a seed hit, repeats, spacers and lengths."""
     t = Star(spark, sf_dir)
-    found = detect.first_seed_hits(t.reads).select("read_id")
-    held = t.hits.join(found, "read_id", "left_semi").select("read_id", "family", "seq", "repeats")
+    held = detect.seeded(t.hits).select("read_id", "family", "seq", "repeats")
     per_read = held.groupBy("family").agg(F.count("*").alias("reads"), F.sum(F.size("repeats")).cast("long").alias("repeats"))
     counted = spacers.spacers_of(held).groupBy("family", "spacer").agg(F.count("*").alias("coverage"))
     per_family = counted.groupBy("family").agg(F.count("*").alias("spacers"), stats.int_mean(F.length("spacer")).alias("spacer_length"), stats.int_mean("coverage").alias("coverage"))
