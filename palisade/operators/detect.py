@@ -38,14 +38,21 @@ def seed_hits(reads: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def seeded(reads: DataFrame, p: Params = Params()) -> DataFrame:
-    """Reads with at least one seed hit; the search of a read ends with its first, and nothing is shuffled."""
+    """Reads with at least one seed hit; the search of a read ends with its first, and nothing is shuffled.
 
-    def hit(j):
-        low = j + p.min_repeat + p.min_spacer
-        high = F.greatest(low, F.least(j + p.max_repeat + p.max_spacer + p.window, F.length("seq") - 1))
-        return F.contains(F.substring("seq", low + 1, high - low), F.substring("seq", j + 1, F.lit(p.window)))
+    The read stands once in the condition: pushed below the projection that makes it, it isn't made again for each seed.
+    """
 
-    return long_enough(reads, p).where(F.exists(F.sequence(F.lit(0), F.length("seq") - p.shortest_read, F.lit(p.stride)), hit))
+    def searched(seq):
+        def hit(j):
+            low = j + p.min_repeat + p.min_spacer
+            high = F.greatest(low, F.least(j + p.max_repeat + p.max_spacer + p.window, F.length(seq) - 1))
+            return F.contains(F.substring(seq, low + 1, high - low), F.substring(seq, j + 1, F.lit(p.window)))
+
+        places = F.sequence(F.lit(0), F.length(seq) - p.shortest_read, F.lit(p.stride))
+        return F.when(F.length(seq) >= p.shortest_read, F.exists(places, hit)).otherwise(F.lit(False))
+
+    return reads.where(F.exists(F.array("seq"), searched))
 
 
 def first_seed_hits(reads: DataFrame, p: Params = Params()) -> DataFrame:
