@@ -5,7 +5,9 @@ passages' TF-IDF matrix is computed in one distributed pass: each partition adds
 ``SKETCH`` rows of a sparse (count-sketch) range finder; the sums are added by row and decomposed.  TF-IDF columns are
 the words that occur in the benchmark, as no other word can add to a product with an item.  A second pass folds every
 passage into the latent space (coordinates scaled by the inverse singular values), takes the items with a cosine of at
-least ``MIN_COSINE`` as candidates, and checks each candidate where the text still is at hand: the longest common
+least ``MIN_COSINE`` as candidates.  As words that many documents hold weigh next to nothing there, an item is also a
+candidate, by exact look-up and whatever the weights, wherever a stretch of 1.25 times its length begins that holds one in
+``THIN`` of its runs of three words.  Each candidate is checked where the text still is at hand: the longest common
 subsequence of words with the item, within a stretch of 1.25 times the item's length, and that of the item's answer
 (its last line or sentence).  A document is contaminated by an item when the stretch holds ``COPIED`` of the item in
 order, or ``PARAPHRASED`` of it together with ``ANSWERED`` of its answer.
@@ -34,9 +36,11 @@ from .common import map_batches
 
 STRIDE, RANK, SKETCH, SEED = 16, 128, 256, 7
 MIN_COSINE, COPIED, PARAPHRASED, ANSWERED, SLACK = 0.43, 0.7, 0.55, 0.85, 1.25
-SHORT, LEAST = 10, 4
+SHORT, LEAST, THIN = 10, 4, 12
 ITEM_BLOCK, MAX_TERMS = 5_000, 1 << 15
 CHUNK = 1 << 15  # words in hand at once
+SLOTS, MOST = 1 << 20, 1 << 21  # slots that tell at once most runs of no item; hits times items in hand at once
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 _MARKS = bytes(x for x in range(128) if not chr(x).isalnum())
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _MARKS, b"abcdefghijklmnopqrstuvwxyz" + b" " * len(_MARKS))
@@ -73,6 +77,23 @@ def positions(words) -> dict[int, int]:
     return out
 
 
+def runs_of_three(ids: np.ndarray) -> np.ndarray:
+    """A hash of each three words in a row."""
+    mixed = ids.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        out = mixed[:-2] * _MIX[0] + mixed[1:-1] * _MIX[1] + mixed[2:] * _MIX[2]
+        return out ^ out >> np.uint64(29)
+
+
+def contaminates(share: float, told: float) -> bool:
+    return share >= COPIED or (share >= PARAPHRASED and told >= ANSWERED)
+
+
+def rank(share: float, told: float) -> tuple:
+    """Order of stretches: one that contaminates goes before any other, so that more candidates never lose a pair."""
+    return contaminates(share, told), share, told
+
+
 class Items:
     """A block of benchmark items over a vocabulary of its own words."""
 
@@ -90,6 +111,22 @@ class Items:
         self.masks = [positions(w) for w in self.words]
         self.answer_masks = [positions(a) for a in self.answers]
         self.terms = self.latent = None
+        self._index()
+
+    def _index(self) -> None:
+        """Where each run of three words occurs: the items from SHORT words on that hold it."""
+        long = [i for i, w in enumerate(self.words) if len(w) >= SHORT]
+        runs = [np.unique(runs_of_three(np.asarray(self.words[i]))) for i in long]
+        keys = np.concatenate([*runs, np.zeros(0, np.uint64)])
+        owner = np.repeat(np.array(long, np.int64), [len(r) for r in runs])
+        order = np.lexsort((owner, keys))
+        self.owner = owner[order]
+        self.runs, self.begins, self.held = np.unique(keys[order], return_index=True, return_counts=True)
+        self.slots = np.zeros(SLOTS, bool)
+        self.slots[self.runs % np.uint64(SLOTS)] = True
+        length = np.array([len(w) for w in self.words], np.int64)
+        self.span, self.need = (length * SLACK).astype(np.int64) + 1, np.maximum(1, length // THIN)
+        self.reach = int(self.span.max()) if len(length) else 0
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         get = self.vocabulary.get
@@ -102,7 +139,8 @@ class Items:
         rank = min(RANK, int((s > s[0] * 1e-6).sum())) if len(s) and s[0] > 0 else 0
         basis = vt[:rank].T / s[:rank] if rank else np.zeros((self.columns, 1))
         basis = weight[:, None] * basis
-        # words that a large part of the documents hold weigh next to nothing; their rows are not looked up
+        # words that a large part of the documents hold weigh next to nothing; their rows are not looked up here, and
+        # items made of such words are found by their runs of three words
         self.live = np.concatenate([weight >= 0.03 * weight.max(), [False]]) if rank else np.zeros(self.columns + 1, bool)
         basis[~self.live[:-1]] = 0
         self.terms = np.vstack([basis / max(np.abs(basis).max(), 1e-30), np.zeros((1, basis.shape[1]))]).astype(np.float32)
@@ -122,10 +160,11 @@ class Items:
         for k in range(0, max(1, len(area) - span + max(1, n // 4)), max(1, n // 4)):
             stretch = area[k : k + span]
             share = common_subsequence(self.masks[item], n, stretch) / n
-            if share >= PARAPHRASED and share > best[0]:
+            if share >= PARAPHRASED and (share > best[0] or not contaminates(*best[:2])):
                 answer = self.answers[item]
                 told = common_subsequence(self.answer_masks[item], len(answer), stretch) / len(answer) if answer else 0.0
-                best = (share, told, low + k)
+                if rank(share, told) > rank(*best[:2]):
+                    best = (share, told, low + k)
         return best
 
     def search(self, texts: list[bytes | None]):
@@ -148,33 +187,64 @@ class Items:
         for number, ids in batch:  # a text longer than a chunk goes through in parts that overlap by one block
             for start in range(0, max(1, len(ids) - STRIDE), CHUNK):
                 part = ids[start : start + CHUNK + STRIDE]
-                for at, item, cosine in self._candidates(part):
+                for at, item, cosine in self._candidates(part, self._copies(ids[start : start + CHUNK + STRIDE + self.reach])):
                     self._check(best, number, ids, item, cosine, start + at)
             if self.short:
                 self._whole(best, number, ids)
         for (number, item), (cosine, share, told, at) in best.items():
-            if share >= COPIED or (share >= PARAPHRASED and told >= ANSWERED):
+            if contaminates(share, told):
                 yield number, item, cosine, share, told, at
 
-    def _candidates(self, ids: np.ndarray):
+    def _copies(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(word, item)`` from which a stretch holds enough of the item's runs of three words."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        runs = runs_of_three(ids)
+        at = np.flatnonzero(self.slots[runs % np.uint64(SLOTS)])
+        if not len(at) or not len(self.runs):
+            return out[0]
+        place = np.minimum(np.searchsorted(self.runs, runs[at]), len(self.runs) - 1)
+        true = self.runs[place] == runs[at]
+        at, place = at[true], place[true]
+        total = np.cumsum(self.held[place])
+        i = 0
+        while i < len(at):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + MOST, "right")))
+            k = int(np.searchsorted(at, at[j - 1] + self.reach, "right"))
+            held = self.held[place[i:k]]
+            within = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
+            item, word = self.owner[np.repeat(self.begins[place[i:k]], held) + within], np.repeat(at[i:k], held)
+            order = np.lexsort((word, item))
+            item, word = item[order], word[order]
+            key = item * (len(ids) + self.reach + 1) + word
+            enough = np.searchsorted(key, key + self.span[item], "left") - np.arange(len(key)) >= self.need[item]
+            enough &= word <= at[j - 1]
+            out.append((word[enough], item[enough]))
+            i = j
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def _candidates(self, ids: np.ndarray, copies: tuple[np.ndarray, np.ndarray]):
         known = np.flatnonzero(self.live[np.where(ids < 0, self.columns, ids % self.columns)])
-        if not len(known):
-            return
         blocks = (len(ids) + STRIDE - 1) // STRIDE
-        block = known // STRIDE
-        first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+        within = copies[0] < len(ids)
+        if not len(known) and not within.any():
+            return
         sums = np.zeros((blocks + 1, self.terms.shape[1]), np.float32)
-        sums[block[first]] = np.add.reduceat(self.terms[ids[known] % self.columns], first, axis=0)
+        if len(known):
+            block = known // STRIDE
+            first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+            sums[block[first]] = np.add.reduceat(self.terms[ids[known] % self.columns], first, axis=0)
         passages = sums[:-1] + sums[1:]
-        length = np.sqrt(np.einsum("ij,ij->i", passages, passages))
+        length = np.maximum(np.sqrt(np.einsum("ij,ij->i", passages, passages)), 1e-30)
         cosines = passages @ self.latent
-        for p, item in zip(*np.nonzero(cosines >= MIN_COSINE * np.maximum(length, 1e-30)[:, None])):
+        chosen = cosines >= MIN_COSINE * length[:, None]
+        chosen[copies[0][within] // STRIDE, copies[1][within]] = True
+        for p, item in zip(*np.nonzero(chosen)):
             yield int(p) * STRIDE, int(item), float(cosines[p, item] / length[p])
 
     def _check(self, best, number, ids, item, cosine, at):
         share, told, place = self.found(item, ids[max(0, at - 4 * len(self.words[item])) : at + 2 * STRIDE + 4 * len(self.words[item])].tolist(), min(at, 4 * len(self.words[item])))
         place += max(0, at - 4 * len(self.words[item]))
-        if share and (share, told) > best.get((number, item), (0, 0.0, 0.0))[1:3]:
+        if share and rank(share, told) > rank(*best.get((number, item), (0, 0.0, 0.0))[1:3]):
             best[number, item] = (cosine, share, told, place)
 
     def _whole(self, best, number, ids):

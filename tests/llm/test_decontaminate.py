@@ -74,3 +74,17 @@ def test_common_subsequence():
             for j, y in enumerate(b):
                 table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
         assert D.common_subsequence(D.positions(a), len(a), b) == table[-1, -1]
+
+
+def test_item_that_a_third_of_the_rows_hold(spark):
+    items, docs, _ = made()
+    rnd = random.Random(8)
+    words = [w for _, text in docs for w in text.split()]
+    copy, rows = items[0][1].replace(".", "").split(), []
+    for i in range(3000):
+        body = rnd.choices(words, k=20)
+        body[10:10] = copy if i % 3 == 0 else []
+        rows.append((i, " ".join(body)))
+    found = D.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert got == {(i, 0) for i in range(0, 3000, 3)}
