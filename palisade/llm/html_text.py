@@ -50,8 +50,14 @@ CLOSES = (
     | {t: (frozenset("thead tbody tfoot tr td th caption p".split()), frozenset(("table",))) for t in GROUPS}
 )
 
+#: elements whose content closes nothing outside of them, and what may stand in a head: anything else ends it
+CLOSED_IN = UNSEEN - {"head"}
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
+
 _TOKEN = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[!?/][^>]*>)", re.S)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|type\s*=\s*[\"']?hidden|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!\s*important\s*)?(?=;|$)", re.I)
+_MAYBE = re.compile(r"hidden|style", re.I)
 _START = re.compile(r"(?:^|\s)start\s*=\s*[\"']?(-?\d+)", re.I)
 _SPAN = re.compile(r"(?:^|\s)colspan\s*=\s*[\"']?(\d+)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
@@ -64,6 +70,19 @@ class Element:
         self.name, self.attributes, self.children = name, attributes, []
 
 
+def hidden(name: str, attributes: str) -> bool:
+    """Whether attributes hide the element: ``hidden``, a style, or the type of an input; what only hides it from
+    screen readers doesn't count.  Of a repeated attribute the first counts."""
+    if not _MAYBE.search(attributes):
+        return False
+    values: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        values.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    if "hidden" in values or name == "input" and values.get("type", "").strip().lower() == "hidden":
+        return True
+    return bool(_STYLE.search(re.sub(r"/\*.*?\*/", "", values.get("style", ""), flags=re.S)))
+
+
 def tree(page: str) -> Element:
     """The page's visible elements and texts, with implied tags."""
     root = Element("html")
@@ -74,6 +93,9 @@ def tree(page: str) -> Element:
     while at < n:
         m = search(page, at)
         end = m.start() if m else n
+        if end > at and names[-1] == "head" and page[at:end].strip():
+            del stack[-1], names[-1]
+            unseen = 0 if len(stack) <= unseen else unseen
         if end > at and not unseen:
             stack[-1].children.append(html.unescape(page[at:end]) if "&" in page[at:end] else page[at:end])
         if not m:
@@ -101,11 +123,14 @@ def tree(page: str) -> Element:
                 stack[-1].children.append(Element("br"))
             continue
         attributes = m["attributes"] or ""
-        if name in CLOSES and not unseen:
+        if names[-1] == "head" and name not in IN_HEAD:
+            del stack[-1], names[-1]
+            unseen = 0 if len(stack) <= unseen else unseen
+        if name in CLOSES:
             closed, fence = CLOSES[name]
             k = len(names) - 1
             last = None
-            while k > 0 and names[k] not in fence:
+            while k > 0 and names[k] not in fence and names[k] not in CLOSED_IN:
                 if names[k] in closed:
                     last = k
                 elif names[k] in BLOCK and names[k] not in ("div", "p", "address") and name != "body":
@@ -113,8 +138,9 @@ def tree(page: str) -> Element:
                 k -= 1
             if last:
                 del stack[last:], names[last:]
+                unseen = 0 if last <= unseen else unseen
         if name in VOID or attributes.endswith("/") and name in ("svg", "path"):
-            if not unseen and not (attributes and _HIDDEN.search(attributes)):
+            if not unseen and not (attributes and hidden(name, attributes)):
                 stack[-1].children.append(Element(name, attributes))
             continue
         if name in RAW:
@@ -128,7 +154,7 @@ def tree(page: str) -> Element:
         if name == "html" or name == "body" and "body" in names:
             continue
         element = Element(name, attributes)
-        hides = name in UNSEEN or bool(attributes) and bool(_HIDDEN.search(attributes))
+        hides = name in UNSEEN or bool(attributes) and hidden(name, attributes)
         if not unseen and not hides and len(stack) < DEPTH:
             stack[-1].children.append(element)
         elif not unseen and len(stack) >= DEPTH and not hides:

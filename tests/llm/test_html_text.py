@@ -58,3 +58,28 @@ def test_pages_table(spark):
     assert out.columns == ["page_id", "a.b", "text"]
     assert sorted(((r[0], r[2]) for r in out.collect()), key=repr) == [(1, "a"), (2, None), (2, None), (None, "")]
     assert extracted(pages.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><title>t</title><body><p>Text</body></html>", "Text"),
+        ("<p hidden>a<p>b", "b"),
+        ("<ul><li hidden>a<li>b</ul>c", "- b\n\nc"),
+        ("<table><tr hidden><td>a<tr><td>b</table>", "b"),
+        ("<div hidden><p>a<p>b<div>c</div></div>d", "d"),
+        ("<ul hidden><li>a<li>b</ul>c", "c"),
+        ("<template><p>a<p>b</template>c", "c"),
+        ("<div class=\"nav hidden md:block\">a</div><p title='the hidden beach'>b", "a\n\nb"),
+        ("<p title='display:none'>a<p aria-hidden=true>b", "a\n\nb"),
+        ("<p data-hidden>a<p HIDDEN=''>b<p style='color:red; DISPLAY : none!important'>c", "a"),
+        ("<p style=display:none>a</p>b", "b"),
+        ("<p>a<template><div>x<p>y</div></template>b", "ab"),
+        ("<p>a<noscript><p>x</noscript><svg><p>x</svg>b", "ab"),
+        ("<select><option>x<option>y</select>b", "b"),
+        ("<head><title>t</title><meta charset=utf-8>\n<p>a", "a"),
+        ("<head><title>t</title>a", "a"),
+    ],
+)
+def test_hidden_elements_end_where_they_should(page, text):
+    assert rendered(page) == text
