@@ -10,7 +10,7 @@ from ..functions import sequence as S
 from ..params import CLUSTER_KMER, Params
 from .durable import components
 
-#: Greedy grouping visits variants one after another, in one task; beyond this number the graph form is used.
+#: Greedy grouping visits variants one after another; up to this number all in one task, beyond it island by island.
 MAX_GREEDY = 200_000
 
 
@@ -29,21 +29,25 @@ def shared_kmers(variants: DataFrame, k: int = CLUSTER_KMER) -> DataFrame:
 def grouped(variants: DataFrame, p: Params = Params()) -> DataFrame:
     """``(gid, variant)`` from ``variants(variant, ord)``.
 
-    Greedy up to ``MAX_GREEDY`` variants: in order of ``ord``, a variant joins the first group to reach
-    ``shared_kmers`` of its k-mers, else opens one; k-mers nobody owns become the group's.  Beyond that, groups are the
-    connected components of pairs that share as many k-mers: another, order-free result, named in the README.
+    Greedy at every size: in order of ``ord``, a variant joins the first group to reach ``shared_kmers`` of its k-mers,
+    else opens one; k-mers nobody owns become the group's.  Beyond ``MAX_GREEDY`` variants this is done in each island
+    by itself: variants of different islands have no k-mer in common even over others, so they never meet and the groups
+    are the same.  ``gid`` is a label: 1, 2, ... in one task, else a hash of the variant that opens the group.
     """
-    if variants.limit(MAX_GREEDY + 1).count() > MAX_GREEDY:
-        return by_components(variants, p)
+    whole = variants.limit(MAX_GREEDY + 1).count() <= MAX_GREEDY
     need = p.shared_kmers
     numbered = variants.select("variant", "ord", S.kmers("variant", CLUSTER_KMER).alias("kmers"))
-    numbered = numbered.withColumn("kmers", F.transform("kmers", S.canonical)).withColumn("one", F.lit(0))
+    numbered = numbered.withColumn("kmers", F.transform("kmers", S.canonical))
+    if whole:
+        numbered = numbered.withColumn("island", F.lit(""))
+    else:
+        numbered = numbered.join(islands(variants), "variant", "left").withColumn("island", F.coalesce("island", "variant"))
 
     def greedy(frame: pd.DataFrame) -> pd.DataFrame:
         owner: dict[str, int] = {}
-        gids, free = [], 1
+        gids, openers, free = [], [], 1
         frame = frame.sort_values(["ord", "variant"])
-        for kmers in frame["kmers"]:
+        for variant, kmers in zip(frame["variant"], frame["kmers"]):
             votes: dict[int, int] = {}
             gid = 0
             for x in kmers:
@@ -55,12 +59,22 @@ def grouped(variants: DataFrame, p: Params = Params()) -> DataFrame:
                         break
             if not gid:
                 gid, free = free, free + 1
+                openers.append(variant)
             for x in kmers:
                 owner.setdefault(x, gid)
             gids.append(gid)
-        return pd.DataFrame({"gid": gids, "variant": frame["variant"]})
+        return pd.DataFrame({"gid": gids, "variant": frame["variant"], "opener": [openers[g - 1] for g in gids]})
 
-    return numbered.groupBy("one").applyInPandas(greedy, "gid int, variant string")
+    out = numbered.groupBy("island").applyInPandas(greedy, "gid int, variant string, opener string")
+    return out.select("gid", "variant") if whole else out.select(F.xxhash64("opener").alias("gid"), "variant")
+
+
+def islands(variants: DataFrame) -> DataFrame:
+    """``(variant, island)``: components of variants that have any k-mer in common, for those that share one."""
+    kmers = variant_kmers(variants).select("variant", "kmer").distinct()
+    first = kmers.groupBy("kmer").agg(F.min("variant").alias("a"))
+    links = kmers.join(first, "kmer").where("a <> variant").select(F.lit(0).alias("gid"), "a", F.col("variant").alias("b")).distinct()
+    return components(links).select(F.col("node").alias("variant"), F.col("root").alias("island"))
 
 
 def by_components(variants: DataFrame, p: Params = Params()) -> DataFrame:
