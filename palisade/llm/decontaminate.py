@@ -152,7 +152,8 @@ class Items:
     def found(self, item: int, ids: list[int], at: int) -> tuple[float, float, int]:
         """Share of the item, share of its answer and place of the best stretch around the passage at ``at``."""
         words, n = self.words[item], len(self.words[item])
-        span, low, high = int(n * SLACK) + 1, max(0, at - n), min(len(ids), at + 2 * STRIDE + n)
+        span, low = int(n * SLACK) + 1, max(0, at - n)
+        high = min(len(ids), at + 2 * STRIDE + (n if n <= 4 * STRIDE else span))  # a long item's slack is more than a passage
         area = ids[low:high]
         if common_subsequence(self.masks[item], n, area) < PARAPHRASED * n:
             return 0.0, 0.0, low

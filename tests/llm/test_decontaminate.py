@@ -88,3 +88,15 @@ def test_item_that_a_third_of_the_rows_hold(spark):
     found = D.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     got = {(r.doc_id, r.item_id) for r in found.collect()}
     assert got == {(i, 0) for i in range(0, 3000, 3)}
+
+
+def test_exact_copies_of_long_items(spark):
+    rnd = random.Random(11)
+    vocabulary = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 8))) for _ in range(3000)]
+    weights = [1 / (k + 1) for k in range(len(vocabulary))]
+    items = [(k, " ".join(rnd.choices(vocabulary, weights, k=n))) for k, n in enumerate([300, 600, 800, 1000] * 6)]
+    docs = [(k, " ".join([*rnd.choices(vocabulary, weights, k=rnd.randrange(40)), text, *rnd.choices(vocabulary, weights, k=40)])) for k, text in items]
+    docs += [(100 + k, " ".join(rnd.choices(vocabulary, weights, k=400))) for k in range(100)]
+    found = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert {(k, k) for k, _ in items} <= got and all(d < 100 for d, _ in got)
