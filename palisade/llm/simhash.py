@@ -200,7 +200,11 @@ def keep_one(docs: DataFrame, width: int = 3, radius: int = 2, tile: int = TILE)
     dropped = materialise(groups.where("doc_id <> component_id").select("doc_id"), "dropped")
     kept = docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti").select(*columns(docs))
     if prints.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
+        # an id doesn't name a row: rows are told apart by id and fingerprint
+        first = prints.join(of, "fp").where("doc_id = component_id")
+        first = first.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__of"), F.col("group").alias("__group")).distinct()
+        named = fingerprints(docs.where("doc_id is not null"), width, carry=True)
+        kept = named.join(first, (F.col("doc_id") == F.col("__id")) & (F.col("__fp") == F.col("__of"))).dropDuplicates(["__group"]).select(*columns(docs))
     if prints.where("doc_id is null").limit(1).count():
         nameless = fingerprints(docs.where("doc_id is null"), width, carry=True)
         named = of.where("component_id is null").select(F.col("fp").alias("__fp"), F.col("group").alias("__group"))

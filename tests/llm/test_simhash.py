@@ -100,3 +100,10 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("text", ["a b", "A  b\x0bC\x85d é", "x " * 5000])
 def test_kernel(text):
     assert simhash.fingerprint(text.encode()) == slow(text)
+
+
+def test_repeated_ids_of_different_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = spark.createDataFrame([(3, a), (7, a), (7, b), (9, a + " x y z " + b), (9, b)], "doc_id long, text string")
+    kept = sorted((r.doc_id, r.text) for r in simhash.keep_one(docs).collect())
+    assert kept == [(3, a), (7, b), (9, a + " x y z " + b)]
