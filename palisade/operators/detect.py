@@ -1,17 +1,18 @@
 """Finding repeat-bearing reads.
 
-The exact search is sequential within a read and runs in Arrow batches.  A filter that Catalyst sees goes before it: the
+The exact search runs in Arrow batches, all reads of a batch at once.  A filter that Catalyst sees goes before it: the
 length gate, which drops what the search would refuse at once.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import kernels
+from ..functions import batched
 from ..functions import sequence as S
 from ..params import MAX_REPEAT_SPACER_LENGTH_DIFFERENCE, MAX_SPACER_LENGTH_DIFFERENCE, Params
 
@@ -65,16 +66,13 @@ def repeat_bearing(reads: DataFrame, p: Params = Params()) -> DataFrame:
     names = reads.columns
     at = names.index("seq")
     schema = T.StructType([*reads.schema.fields, T.StructField("repeat_len", T.IntegerType()), T._parse_datatype_string(f"repeats {REPEATS}").fields[0]])
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches):
         for batch in batches:
-            found = [kernels.find_repeats(s, p) for s in batch.column(at).to_pylist()]
-            keep = pa.array([f is not None for f in found])
-            found = [f for f in found if f]
-            sizes = pa.array([n for n, _ in found], pa.int32())
-            places = pa.array([[{"start": a, "stop": b} for a, b in r] for _, r in found], kind)
-            yield pa.RecordBatch.from_arrays([*batch.filter(keep).columns, sizes, places], names=[*names, "repeat_len", "repeats"])
+            rows, lengths, counts, starts, stops = batched.find_repeats(batch.column(at).to_pylist(), p)
+            places = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], names=["start", "stop"])
+            ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, pa.array(lengths, pa.int32()), pa.ListArray.from_arrays(ends, places)], names=[*names, "repeat_len", "repeats"])
 
     return long_enough(reads, p).mapInArrow(run, schema)
 

@@ -6,6 +6,8 @@ repeat.  ``dna`` turns the MD5 of a string into 32 bases.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,16 @@ def dna(x: Column) -> Column:
     return F.translate(F.md5(x), HEX, BASES)
 
 
+def _known(prefix: str, n: int) -> list[str]:
+    """:func:`dna` of ``prefix0``, ``prefix1``, ... worked out here: a row then picks its string instead of hashing."""
+    table = str.maketrans(HEX, BASES)
+    return [hashlib.md5(f"{prefix}{i}".encode()).hexdigest().translate(table) for i in range(n)]
+
+
+def _picked(values: list, place: Column) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), place.cast("int"))
+
+
 def dna_sql(x: str) -> str:
     return f"translate(md5({x}), '{HEX}', '{BASES}')"
 
@@ -29,13 +41,17 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(read_id, family, dr, seq, n_spacers)``."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    items = items.select("l_orderkey", "l_linenumber", dna(F.concat(F.lit("sp"), (F.col("l_partkey") % SPACERS).cast("string"))).alias("sp"))
-    lines = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "sp"))).alias("lines"))
+    # spacers go by their rank in byte order until the read is put together
+    known = _known("sp", SPACERS)
+    ranked = sorted(known)
+    rank = {x: i for i, x in enumerate(ranked)}
+    items = items.select("l_orderkey", "l_linenumber", _picked([rank[x] for x in known], F.col("l_partkey") % SPACERS).alias("rank"))
+    lines = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "rank"))).alias("lines"))
     joined = orders.join(lines, orders.o_orderkey == lines.l_orderkey)
     family = (F.col("o_custkey") % FAMILIES).cast("int")
-    dr = dna(F.concat(F.lit("dr"), family.cast("string")))
+    dr = _picked(_known("dr", FAMILIES), family)
     flank = dna(F.concat(F.lit("fl"), F.col("o_orderkey").cast("string")))
-    body = F.array_join(F.transform("lines", lambda x: F.concat(F.col("dr"), x["sp"])), "")
+    body = F.array_join(F.transform("lines", lambda x: F.concat(F.col("dr"), _picked(ranked, x["rank"]))), "")
     named = joined.select(F.col("o_orderkey").alias("read_id"), family.alias("family"), dr.alias("dr"), flank.alias("flank"), "lines")
     return named.select("read_id", "family", "dr", F.concat("flank", body, "dr").alias("seq"), F.size("lines").cast("long").alias("n_spacers"))
 
