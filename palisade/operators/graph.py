@@ -65,12 +65,18 @@ def without_nodes(edges: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def discounted_coverage(edges: DataFrame, reads: DataFrame) -> DataFrame:
-    """``(family, node, discounted)``: reads of a node that also show at least one other time across its neighbours."""
-    onward = edges.where("etype in ('F', 'JF')").select("family", "src", "dst")
-    own = reads.select("family", F.col("node").alias("src"), "read_id")
-    near = reads.select("family", F.col("node").alias("dst"), "read_id")
-    shared = onward.join(near, ["family", "dst"]).join(own, ["family", "src", "read_id"]).select("family", "src", "read_id").distinct()
-    return shared.groupBy("family", F.col("src").alias("node")).agg(F.count("*").alias("discounted"))
+    """``(family, node, discounted)``: reads of a node that also show at least one other time across its neighbours.
+
+    A read goes to each of its nodes once, with all of its nodes beside it, and meets the node's neighbours as one array
+    (as many at most as there are k-mers).  The key of that join isn't the one of the sums, so that adaptive execution can
+    split a node that many reads hold.
+    """
+    key = F.concat("src", F.lit("~")).alias("key")
+    onward = edges.where("etype in ('F', 'JF')").groupBy("family", "src").agg(F.collect_set("dst").alias("dsts")).select("family", key, "dsts")
+    held = reads.groupBy("family", "read_id").agg(F.collect_set("node").alias("nodes"))
+    own = held.select("family", "nodes", F.explode("nodes").alias("src"))
+    near = own.select("*", key).join(onward, ["family", "key"]).where(F.arrays_overlap("nodes", "dsts"))
+    return near.groupBy("family", F.col("src").alias("node")).agg(F.count("*").alias("discounted"))
 
 
 def spacer_edges(held: DataFrame, jumps: DataFrame) -> DataFrame:
