@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..params import FLANKER_DEVIATIONS, MAX_SPACER_DEVIATION
 from . import graph
-from .durable import components, discard, written
+from .durable import components, discard, numbered, written
+
+NEIGHBOURS_AT_ONCE = 1024  # neighbours after a spacer that meet those before it in one key of a join
 
 
 # node graph
@@ -112,14 +114,32 @@ def not_viable(edges: DataFrame) -> DataFrame:
 
 def spacer_bubbles(edges: DataFrame, coverage: DataFrame) -> DataFrame:
     """``(family, spacer)``: of spacers between the same two others, all but the best by coverage, rank and age.  Off by
-    default in :func:`cleaned_spacers`."""
-    ways = _both_ways(edges)
-    back = ways.where("way = 'R'").select("family", F.col("a").alias("spacer"), F.col("b").alias("before"))
-    ahead = ways.where("way = 'F'").select("family", F.col("a").alias("spacer"), F.col("b").alias("after"))
-    paths = back.join(ahead, ["family", "spacer"]).select("family", "spacer", F.least("before", "after").alias("x"), F.greatest("before", "after").alias("y"))
-    held = paths.join(coverage, ["family", "spacer"]).join(spacer_ranks(edges).select("family", "spacer", "rank"), ["family", "spacer"])
-    place = F.row_number().over(W.partitionBy("family", "x", "y").orderBy(F.desc("coverage"), F.desc("rank"), "ord_read", "ord_idx"))
-    return held.withColumn("place", place).where("place > 1").select("family", "spacer").distinct()
+    default in :func:`cleaned_spacers`.
+
+    Spacers are numbered from the best on, so that the best between two others is a minimum, added up before the shuffle.
+    A spacer is lost if it lies between two others more often than it is the best there; how often it lies is the product
+    of its neighbours before and after, and paths are gone through once.
+    """
+    ranked = spacer_ranks(edges).select("family", "spacer", "rank").join(coverage, ["family", "spacer"], "left")
+    order = ranked.select("family", "spacer", F.col("coverage").isNotNull().alias("known"), (-F.col("coverage")).alias("cover"), (-F.col("rank")).alias("place"), "ord_read", "ord_idx")
+    best_first = numbered(order, "cover", "place", "ord_read", "ord_idx", "family", "spacer").select("family", "spacer", "known", "number")
+    best_first = written(best_first, "numbers")
+    steps = _both_ways(edges).where("way = 'F'")
+    steps = steps.join(best_first.select("family", F.col("spacer").alias("a"), F.col("number").alias("x"), F.col("known").alias("known_x")), ["family", "a"])
+    steps = steps.join(best_first.select("family", F.col("spacer").alias("b"), F.col("number").alias("y"), F.col("known").alias("known_y")), ["family", "b"])
+    steps = written(steps.select("x", "y", "known_x", "known_y"), "steps")
+    before = steps.where("known_y").select(F.col("y").alias("s"), F.col("x").alias("before"))
+    after = steps.where("known_x").select(F.col("x").alias("s"), F.col("y").alias("after"))
+    times = before.groupBy("s").agg(F.count("*").alias("n_before")).join(after.groupBy("s").agg(F.count("*").alias("n_after")), "s")
+    # a spacer with many after it is cut into parts of about so many
+    parts = F.ceil(F.col("n_after") / NEIGHBOURS_AT_ONCE).cast("int")
+    cut = times.select("s", parts.alias("parts"))
+    left = before.join(cut, "s").select("s", "before", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = after.join(cut, "s").select("s", "after", F.pmod(F.xxhash64("after"), F.col("parts")).cast("int").alias("part"))
+    paths = left.join(right, ["s", "part"]).select("s", F.least("before", "after").alias("x"), F.greatest("before", "after").alias("y"))
+    wins = paths.groupBy("x", "y").agg(F.min("s").alias("s")).groupBy("s").agg(F.count("*").alias("wins"))
+    lost = times.join(wins, "s", "left").where(F.col("n_before") * F.col("n_after") > F.coalesce("wins", F.lit(0)))
+    return best_first.join(lost.select(F.col("s").alias("number")), "number", "left_semi").select("family", "spacer")
 
 
 def without_spacers(edges: DataFrame, gone: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from .durable import written
+from .durable import numbered, written
 
 ROW = ["drs", "dr_length", "spacers", "spacer_length", "coverage", "flankers", "flanker_length", "reads"]
 
@@ -120,20 +120,10 @@ def merged(files: list[DataFrame], renumber: bool = False) -> DataFrame:
         one = f.select(F.lit(i).alias("file"), "pos", "gid", "drseq")
         out = one if out is None else out.unionByName(one)
     if renumber:
-        out = _numbered(out, "file", "pos").withColumn("gid", F.concat(F.lit("G"), F.col("number").cast("string"))).drop("number")
+        out = numbered(out, "file", "pos").withColumn("gid", F.concat(F.lit("G"), F.col("number").cast("string"))).drop("number")
     return out
 
 
-def _numbered(df: DataFrame, *order: str) -> DataFrame:
-    """Numbers 1, 2, ... over all rows in order without bringing them together: sorted ranges are counted, and the small
-    table of range sizes gives each its first number."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    placed = written(placed.withColumn("within", F.row_number().over(W.partitionBy("part").orderBy(*order))), "ranges")
-    sizes = placed.groupBy("part").agg(F.count("*").alias("size"))
-    before = sizes.withColumn("before", F.sum("size").over(W.orderBy("part")) - F.col("size")).select("part", "before")
-    return placed.join(F.broadcast(before), "part").withColumn("number", F.col("before") + F.col("within")).drop("part", "within", "before")
-
-
 def conflicts(merged_groups: DataFrame) -> DataFrame:
     """Ids that more than one group has: merging warns of them and keeps both."""
     return merged_groups.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1")
@@ -142,10 +132,10 @@ def conflicts(merged_groups: DataFrame) -> DataFrame:
 def sanitised(groups: DataFrame, spacers: DataFrame, drs: DataFrame, flankers: DataFrame, cspacers: DataFrame) -> dict[str, DataFrame]:
     """New ids in order of place: groups throughout, repeats, spacers and contigs from 1 in each group, flankers on and
     on; references follow.  Tables carry ``pos``."""
-    gids = _numbered(groups, "pos").select("gid", F.concat(F.lit("G"), F.col("number").cast("string")).alias("new_gid"))
+    gids = numbered(groups, "pos").select("gid", F.concat(F.lit("G"), F.col("number").cast("string")).alias("new_gid"))
     within = lambda df, name, tag: df.withColumn(name, F.concat(F.lit(tag), F.row_number().over(W.partitionBy("gid").orderBy("pos")).cast("string")))
     sp, dr = within(spacers, "new_spid", "SP"), within(drs, "new_drid", "DR")
-    fl = _numbered(flankers, "pos").withColumn("new_flid", F.concat(F.lit("F"), F.col("number").cast("string"))).drop("number")
+    fl = numbered(flankers, "pos").withColumn("new_flid", F.concat(F.lit("F"), F.col("number").cast("string"))).drop("number")
     cids = cspacers.groupBy("gid", "cid").agg(F.min("pos").alias("pos"))
     cids = within(cids, "new_cid", "C").select("gid", "cid", "new_cid")
     inside = cspacers.join(cids, ["gid", "cid"]).join(sp.select("gid", "spid", "new_spid"), ["gid", "spid"], "left")
