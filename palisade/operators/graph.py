@@ -20,10 +20,17 @@ def nodes(given: DataFrame) -> DataFrame:
     return both.groupBy("family", "node").agg(F.count("*").alias("coverage"), (F.min_by("side", seen) == 0).alias("is_forward"))
 
 
+def read_nodes(given: DataFrame) -> DataFrame:
+    """``(family, read_id, nodes)``: the nodes of each read, each once.  Rows of a read lie together where reads are cut,
+    so they are combined before the shuffle."""
+    both = F.filter(F.array("first", "last"), lambda x: x.isNotNull())
+    nodes = given.select("family", "read_id", F.explode(both).alias("node"))
+    return nodes.groupBy("family", "read_id").agg(F.collect_set("node").alias("nodes"))
+
+
 def node_reads(given: DataFrame) -> DataFrame:
     """``(family, node, read_id)``, each once."""
-    both = given.select("family", "read_id", F.explode(F.array("first", "last")).alias("node")).where("node is not null")
-    return both.select("family", "node", "read_id").distinct()
+    return read_nodes(given).select("family", F.explode("nodes").alias("node"), "read_id")
 
 
 def spacers(given: DataFrame) -> DataFrame:
@@ -65,7 +72,8 @@ def without_nodes(edges: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def discounted_coverage(edges: DataFrame, reads: DataFrame) -> DataFrame:
-    """``(family, node, discounted)``: reads of a node that also show at least one other time across its neighbours.
+    """``(family, node, discounted)``: reads of a node that also show at least one other time across its neighbours;
+    ``reads`` as :func:`read_nodes` gives them.
 
     A read goes to each of its nodes once, with all of its nodes beside it, and meets the node's neighbours as one array
     (as many at most as there are k-mers).  The key of that join isn't the one of the sums, so that adaptive execution can
@@ -73,8 +81,7 @@ def discounted_coverage(edges: DataFrame, reads: DataFrame) -> DataFrame:
     """
     key = F.concat("src", F.lit("~")).alias("key")
     onward = edges.where("etype in ('F', 'JF')").groupBy("family", "src").agg(F.collect_set("dst").alias("dsts")).select("family", key, "dsts")
-    held = reads.groupBy("family", "read_id").agg(F.collect_set("node").alias("nodes"))
-    own = held.select("family", "nodes", F.explode("nodes").alias("src"))
+    own = reads.select("family", "nodes", F.explode("nodes").alias("src"))
     near = own.select("*", key).join(onward, ["family", "key"]).where(F.arrays_overlap("nodes", "dsts"))
     return near.groupBy("family", F.col("src").alias("node")).agg(F.count("*").alias("discounted"))
 

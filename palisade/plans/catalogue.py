@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..functions import stats
 from ..operators import clean, cluster, consensus, detect, graph, recruit, report, spacers
+from ..operators.durable import written
 from ..sources import dot, seqfile
 from ..sources import synthetic as Y
 from .star import Star, sql
@@ -82,10 +83,10 @@ def either_strand(t):
 
 
 @query("""select b, cast(case upper(b) when 'A' then 0 when 'C' then 1 when 'G' then 2 when 'T' then 3 else 4 end as integer) as code, count(*) as n
-  from (select substr(text, 1, 1) as b from documents where text <> '') group by b""")
+  from (select unnest(string_split(text, '')) as b from documents where text <> '') group by b""")
 def base_codes(t):
-    first = t.table("documents").where("text <> ''").select(F.substring("text", 1, 1).alias("b"))
-    return first.groupBy("b").agg(F.count("*").alias("n")).select("b", S.base_code("b").alias("code"), "n")
+    letters = t.table("documents").where("text <> ''").select(F.explode(F.split("text", "")).alias("b"))
+    return letters.groupBy("b").agg(F.count("*").alias("n")).select("b", S.base_code("b").alias("code"), "n")
 
 
 _COUNT = lambda b, s="s": f"length({s}) - length(translate({s}, '{b}{b.lower()}', ''))"
@@ -202,17 +203,15 @@ def without_partials(t):
 
 
 @query(f"""select read_id, arg_min(pattern, (instr(seq, pattern) + length(pattern), -length(pattern))) as pattern, cast(min(instr(seq, pattern) - 1) as integer) as start
-  from (select read_id, substr(seq, 1, 96) as seq from reads), (select dr as pattern from families union select {RC('dr')} from families) where contains(seq, pattern) group by read_id""")
+  from reads, (select dr as pattern from families union select {RC('dr')} from families) where contains(seq, pattern) group by read_id""")
 def recruit_reads(t):
-    single = t.reads.select("read_id", F.expr("substring(seq, 1, 96)").alias("seq"))
-    return recruit.matches(single, recruit.both_strands(t.families.select(F.col("dr").alias("pattern"))))
+    return recruit.matches(t.reads.select("read_id", "seq"), recruit.both_strands(t.families.select(F.col("dr").alias("pattern"))))
 
 
 @query(f"""select read_id, arg_min(pattern, (instr(seq, pattern) + length(pattern), -length(pattern))) as pattern, cast(min(instr(seq, pattern) - 1) as integer) as start
-  from (select read_id, substr(seq, 1, 96) as seq from reads), (select dr as pattern from families union select {RC('dr')} from families) where contains(seq, pattern) group by read_id""")
+  from reads, (select dr as pattern from families union select {RC('dr')} from families) where contains(seq, pattern) group by read_id""")
 def recruit_by_kmers(t):
-    single = t.reads.select("read_id", F.expr("substring(seq, 1, 96)").alias("seq"))
-    return recruit.matches(single, recruit.both_strands(t.families.select(F.col("dr").alias("pattern"))), limit=0 + 1)
+    return recruit.matches(t.reads.select("read_id", "seq"), recruit.both_strands(t.families.select(F.col("dr").alias("pattern"))), limit=1)
 
 
 @query("select read_id, family from reads where n_spacers < 4")
@@ -382,7 +381,7 @@ def spacer_upsert(t):
 
 @query("select * from inner_edges")
 def node_edges(t):
-    return graph.inner_edges(t.held)
+    return graph.inner_edges(t.table_of_spacers)
 
 
 @query("select * from jumps")
@@ -393,13 +392,14 @@ def jump_edges(t):
 @query("""select family, src as node, cast(count(*) filter (where etype in ('F', 'B')) as bigint) as inner_rank, cast(count(*) filter (where etype in ('JF', 'JB')) as bigint) as jumping_rank, count(*) as total_rank
   from (select * from inner_edges union all select * from jumps) group by family, src""")
 def node_ranks(t):
-    return graph.ranks(graph.inner_edges(t.held).unionByName(t.jumps))
+    return graph.ranks(t.edges)
 
 
 @query("select * from jumps where src < 'T' and dst < 'T'")
 def detach_nodes(t):
-    gone = t.jumps.select("family", F.explode(F.array("src", "dst")).alias("node")).where("node >= 'T'").distinct()
-    return graph.without_nodes(t.jumps, gone)
+    jumps = t.edges.where("etype in ('JF', 'JB')")
+    gone = jumps.select("family", F.explode(F.array("src", "dst")).alias("node")).where("node >= 'T'").distinct()
+    return graph.without_nodes(jumps, gone)
 
 
 @query("""select family, src as node, count(*) as discounted from (select distinct e.family, e.src, o.read_id from (select * from inner_edges union all select * from jumps) e
@@ -407,7 +407,7 @@ def detach_nodes(t):
   join (select distinct family, node, read_id from (select family, unnest([first, last]) as node, read_id from given) where node is not null) o on o.family = e.family and o.node = e.src and o.read_id = n.read_id
   where etype in ('F', 'JF')) group by family, src""")
 def discounted_coverage(t):
-    return graph.discounted_coverage(graph.inner_edges(t.held).unionByName(t.jumps), graph.node_reads(t.given))
+    return graph.discounted_coverage(t.edges, graph.read_nodes(t.kept))
 
 
 @query("select * from spacer_edges")
@@ -417,56 +417,45 @@ def spacer_graph_edges(t):
 
 @query("select * from spacer_rank")
 def spacer_rank(t):
-    return clean.spacer_ranks(t.spacer_edges)
+    return clean.spacer_ranks(t.spacer_graph)
 
 
 @query("select family, spacer from spacer_rank where rank = 1")
 def caps(t):
-    return clean.spacer_ranks(t.spacer_edges).where("rank = 1").select("family", "spacer")
+    return clean.spacer_ranks(t.spacer_graph).where("rank = 1").select("family", "spacer")
 
 
 @query("select w.family, w.a as spacer from ways w join spacer_rank r on r.family = w.family and r.spacer = w.a and r.rank = 1 join spacer_rank q on q.family = w.family and q.spacer = w.b and q.rank > 2")
 def fur(t):
-    return clean.fur(t.spacer_edges)
+    return clean.fur(t.spacer_graph)
 
 
 @query("select family, spacer from spacer_rank where rank >= 2 and (ahead = 0 or back = 0)")
 def viable(t):
-    return clean.not_viable(t.spacer_edges)
+    return clean.not_viable(t.spacer_graph)
 
 
 @query("""select distinct family, spacer from (select p.family, p.spacer, row_number() over (partition by p.family, x, y order by coverage desc, rank desc, ord_read, ord_idx) as place from
   (select r.family, r.a as spacer, least(r.b, f.b) as x, greatest(r.b, f.b) as y from ways r join ways f on f.family = r.family and f.a = r.a and r.way = 'R' and f.way = 'F') p
   join held h on h.family = p.family and h.low || ':' || h.high = p.spacer join spacer_rank k on k.family = p.family and k.spacer = p.spacer) where place > 1""")
 def spacer_bubbles(t):
-    cover = t.held.select("family", F.concat_ws(":", "low", "high").alias("spacer"), "coverage", "ord_read", "ord_idx")
-    return clean.spacer_bubbles(t.spacer_edges, cover)
-
-
-def _thin(t):
-    """The spacer graph of rare steps: reads of two spacers only."""
-    short = spacers.contributions(t.hits.where("n_spacers <= 2 and read_id % 7 = 0").select("read_id", "family", "seq", "repeats"))
-    held = graph.spacers(short)
-    return short, held, graph.jumping_edges(short, held)
+    cover = t.table_of_spacers.select("family", F.concat_ws(":", "low", "high").alias("spacer"), "coverage", "ord_read", "ord_idx")
+    return clean.spacer_bubbles(t.spacer_graph, cover)
 
 
 @query()
 def clean_graph(t):
-    short, held, jumps = _thin(t)
-    edges = graph.inner_edges(held).unionByName(jumps)
-    return clean.cleaned_nodes(edges, graph.nodes(short), graph.node_reads(short))
+    return clean.cleaned_nodes(t.edges, written(graph.nodes(t.kept), "nodes"), written(graph.read_nodes(t.kept), "read-nodes"))
 
 
 @query()
 def clean_spacer_graph(t):
-    _, held, jumps = _thin(t)
-    return clean.cleaned_spacers(graph.spacer_edges(held, jumps))
+    return clean.cleaned_spacers(t.spacer_graph)
 
 
 @query()
 def contigs(t):
-    _, held, jumps = _thin(t)
-    return clean.contigs(graph.spacer_edges(held, jumps))
+    return clean.contigs(t.spacer_graph)
 
 
 def _uneven(t):
@@ -688,12 +677,12 @@ _RANK = f"(select family, src, count(*) as rank from {_EDGES} group by 1, 2)"
 
 @query(f"select e.family, e.src as node, cast(count(*) filter (where r.rank = 1) as bigint) as caps from {_EDGES} e join {_RANK} r on r.family = e.family and r.src = e.dst group by 1, 2 having count(*) filter (where r.rank = 1) > 0")
 def caps_at(t):
-    return clean.caps_at(graph.inner_edges(t.held).unionByName(t.jumps))
+    return clean.caps_at(t.edges)
 
 
 @query(f"select e.family, e.src as node, count(*) as caps from {_EDGES} e join {_RANK} r on r.family = e.family and r.src = e.dst group by 1, 2 having bool_and(r.rank = 1)")
 def caps_only(t):
-    return clean.caps_at(graph.inner_edges(t.held).unionByName(t.jumps), strict=True)
+    return clean.caps_at(t.edges, strict=True)
 
 
 @query(f"select family, cast(count(*) filter (where coverage % 4 > 0) as bigint) as spacers, cast(count(*) filter (where coverage % 4 = 0) as bigint) as flankers from held group by family")
@@ -721,15 +710,15 @@ def true_dr_gates(t):
 @query("select * from spacer_edges where src_low || ':' || src_high < 'T' and dst_low || ':' || dst_high < 'T'")
 def detach_spacers(t):
     named = F.explode(F.array(F.concat_ws(":", "src_low", "src_high"), F.concat_ws(":", "dst_low", "dst_high")))
-    gone = t.spacer_edges.select("family", named.alias("spacer")).where("spacer >= 'T'").distinct()
-    return clean.without_spacers(t.spacer_edges, gone)
+    gone = t.spacer_graph.select("family", named.alias("spacer")).where("spacer >= 'T'").distinct()
+    return clean.without_spacers(t.spacer_graph, gone)
 
 
 @query("""select family as gid, chr(9) || node || ' [ shape = ' || case when is_forward then 'circle' else 'square' end || ' label = "' || node || '_' || coverage || '" ]' as line from
   (select family, node, count(*) as coverage, arg_min(side, (read_id, idx, side)) = 0 as is_forward from (select family, first as node, read_id, idx, 0 as side from given where first is not null union all select family, last, read_id, idx, 1 from given where last is not null) group by family, node)
   union all select family, chr(9) || src || ' -> ' || dst || case when etype = 'JF' then ' [ style = dashed ]' else '' end from (select * from inner_edges union all select * from jumps) where etype in ('F', 'JF')""")
 def kmer_graph_lines(t):
-    return dot.kmer_lines(graph.nodes(t.given), graph.inner_edges(t.held).unionByName(t.jumps))
+    return dot.kmer_lines(graph.nodes(t.kept), t.edges)
 
 
 @query("select family, spacer, coverage, place from (select family, spacer, count(*) as coverage, cast(row_number() over (partition by family order by count(*) desc, spacer) as integer) as place from interior group by 1, 2) where place <= 5")

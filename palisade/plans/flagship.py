@@ -64,8 +64,8 @@ def find_arrays(reads: DataFrame, p: Params = Params()) -> dict[str, DataFrame]:
     moved = durable.written(moved, "moved")
     given = durable.written(spacers.contributions(moved.withColumnRenamed("gid", "family"), p.node_kmer), "given")
     table = durable.written(graph.spacers(given), "spacers")
-    jumps = graph.jumping_edges(given, table)
-    nodes_left = clean.cleaned_nodes(graph.inner_edges(table).unionByName(jumps), graph.nodes(given), graph.node_reads(given))
+    jumps = durable.written(graph.jumping_edges(given, table), "jumps")
+    nodes_left = clean.cleaned_nodes(graph.inner_edges(table).unionByName(jumps), durable.written(graph.nodes(given), "nodes"), durable.written(graph.read_nodes(given), "read-nodes"))
     edges = clean.cleaned_spacers(graph.spacer_edges(table, nodes_left))
     named = clean.flankers(table)
     sure = clean.confident(named, p.min_coverage)

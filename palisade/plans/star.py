@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import graph, spacers
+from ..operators.durable import written
 from ..sources import synthetic as Y
 
 
@@ -45,13 +46,31 @@ class Star:
     def held(self) -> DataFrame:
         return graph.spacers(self.given)
 
+    # what queries on graphs read several times is written out, as :func:`flagship.find_arrays` does
+
+    @cached_property
+    def kept(self) -> DataFrame:
+        return written(self.given, "given")
+
+    @cached_property
+    def table_of_spacers(self) -> DataFrame:
+        return written(graph.spacers(self.kept), "spacers")
+
     @cached_property
     def jumps(self) -> DataFrame:
-        return graph.jumping_edges(self.given, self.held)
+        return graph.jumping_edges(self.kept, self.table_of_spacers)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return graph.inner_edges(self.table_of_spacers).unionByName(written(self.jumps, "jumps"))
 
     @cached_property
     def spacer_edges(self) -> DataFrame:
-        return graph.spacer_edges(self.held, self.jumps)
+        return graph.spacer_edges(self.table_of_spacers, self.jumps)
+
+    @cached_property
+    def spacer_graph(self) -> DataFrame:
+        return written(self.spacer_edges, "spacer-edges")
 
     @cached_property
     def near(self) -> DataFrame:
