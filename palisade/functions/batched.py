@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 from ..params import MAX_REPEAT_SPACER_LENGTH_DIFFERENCE, MAX_SIMILARITY, MAX_SPACER_LENGTH_DIFFERENCE, Params
-from .kernels import low_complexity, scan_right
+from .kernels import _complement, low_complexity, offset_to_master, scan_right
 
 BEYOND = {np.int8: 100, np.int16: 30_000}  # distances that no limit reaches; what a step adds still fits the type
 PAIRS = 8192  # pairs in hand at once, so that a band stays in the processor's cache
@@ -253,3 +253,97 @@ def find_repeats(seqs: list, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndar
     held = counts[order]
     pick = np.repeat(begin[order], held) + np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
     return numbers[order], lengths[order], held, starts[pick], stops[pick]
+
+
+def _letters(strings: list[str]) -> np.ndarray:
+    """``(longest, strings)``: code points side by side, 0 where a string has ended."""
+    out = np.zeros((max(map(len, strings)), len(strings)), np.int32)
+    for k, x in enumerate(strings):
+        out[: len(x), k] = np.frombuffer(x.encode("utf-32-le"), np.int32)
+    return out
+
+
+def align(queries: list[str], targets: list[str], match: int = 1, mismatch: int = -3, opening: int = 5, extension: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and shifts of :func:`kernels.align` for many pairs: one cell of all tables at a time."""
+    q, t = _letters(queries), _letters(targets)
+    n, m = np.array([len(x) for x in queries]), np.array([len(x) for x in targets])
+    unsure = [ord("N"), ord("n")]
+    q_unsure, t_unsure = np.isin(q, unsure), np.isin(t, unsure)
+    pairs, worst = len(queries), -(10**6)
+    best, best_shift = np.zeros(pairs, np.int32), np.zeros(pairs, np.int32)
+    above = [(np.zeros(pairs, np.int32), np.full(pairs, -j, np.int32)) for j in range(len(q) + 1)]
+    down = [(np.full(pairs, worst, np.int32), np.zeros(pairs, np.int32))] * (len(q) + 1)
+
+    def first(a, b):
+        """The better of two, the first of equal ones."""
+        other = b[0] > a[0]
+        return np.where(other, b[0], a[0]), np.where(other, b[1], a[1])
+
+    for i in range(1, len(t) + 1):
+        row = [(np.zeros(pairs, np.int32), np.full(pairs, i, np.int32))]
+        across = (np.full(pairs, worst, np.int32), np.zeros(pairs, np.int32))
+        for j in range(1, len(q) + 1):
+            pair = np.where(q_unsure[j - 1] | t_unsure[i - 1], 0, np.where(q[j - 1] == t[i - 1], match, mismatch))
+            down[j] = first((above[j][0] - opening - extension, above[j][1]), (down[j][0] - extension, down[j][1]))
+            across = first((row[-1][0] - opening - extension, row[-1][1]), (across[0] - extension, across[1]))
+            corner = (above[j - 1][0] + pair, np.where(above[j - 1][0] != 0, above[j - 1][1], i - j))
+            cell = first(first(first(corner, down[j]), across), (np.zeros(pairs, np.int32), np.full(pairs, i - j, np.int32)))
+            row.append(cell)
+            higher = (cell[0] > best) & (i <= m) & (j <= n)
+            best, best_shift = np.where(higher, cell[0], best), np.where(higher, cell[1], best_shift)
+        above = row
+    return best, best_shift
+
+
+def offsets_to_masters(variants: list[str], masters: list[str], longer: list[str | None]) -> list[tuple[int | None, bool]]:
+    """:func:`kernels.offset_to_master` of each variant."""
+    if not variants:
+        return []
+    ahead, shift = align(variants, masters)
+    back, back_shift = align([_complement(v) for v in variants], masters)
+    out: list[tuple[int | None, bool]] = []
+    for v, m, x, a, s, b, r in zip(variants, masters, longer, ahead.tolist(), shift.tolist(), back.tolist(), back_shift.tolist()):
+        if v == m:
+            out.append((0, False))
+        elif a == b:
+            out.append(offset_to_master(v, m, x))
+        else:
+            score, offset = max(a, b), s if a > b else r
+            out.append((None, False) if score < 5 or score < len(v) / 2 else (offset, b > a))
+    return out
+
+
+#: Codes of the letters that coverage counts; every other letter counts as an A.
+_BASES = np.zeros(256, np.int64)
+for _place, _pair in enumerate(("Aa", "Cc", "Gg", "Tt")):
+    _BASES[[ord(x) for x in _pair]] = _place
+COUNTED = 1 << 22  # bases in hand at once
+
+
+def base_counts(seqs: list[str], groups: np.ndarray, offsets: np.ndarray, owner: np.ndarray, starts: np.ndarray, stops: np.ndarray, reach: int | None):
+    """``(group, place, base, count)`` as arrays, part by part: each repeat ``starts[k]..stops[k]`` of read ``owner[k]``
+    lays its read, or ``reach`` bases either side of it, along the group's master."""
+    joined = "".join(seqs)
+    text = np.frombuffer(joined.encode("ascii"), np.uint8) if joined.isascii() else np.minimum(np.frombuffer(joined.encode("utf-32-le"), np.uint32), 255)
+    codes = _BASES[text]
+    size = np.array([len(s) for s in seqs], np.int64)
+    begin = np.cumsum(size) - size
+    low = np.zeros(len(starts), np.int64) if reach is None else np.maximum(starts - reach, 0)
+    high = size[owner] - 1 if reach is None else np.minimum(stops + reach, size[owner] - 1)
+    length = np.maximum(0, high - low + 1)
+    total, k = np.cumsum(length), 0
+    while k < len(starts):
+        e = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + COUNTED, "right")))
+        n, of = length[k:e], owner[k:e]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        base = codes[np.repeat(begin[of] + low[k:e], n) + within]
+        place = np.repeat(offsets[of] - starts[k:e] + low[k:e], n) + within
+        if len(place):
+            least, span = place.min(), int(place.max() - place.min()) + 1
+            key = (np.repeat(groups[of], n) * span + place - least) * 4 + base
+            keys, counts = np.unique(key, return_counts=True) if key.max() > 4 * COUNTED else (None, np.bincount(key))
+            if keys is None:
+                keys = np.flatnonzero(counts)
+                counts = counts[keys]
+            yield keys // 4 // span, keys // 4 % span + least, keys % 4, counts
+        k = e

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import kernels
+from ..functions import batched, kernels
 from ..functions import sequence as S
 from ..params import COLLAPSE_CONSERVATION, COLLAPSE_SHARE, MAX_TRIMER_SHARE, MIN_COLUMN_DEPTH, ZONE_CONSERVATION, Params
 from .cluster import masters
@@ -20,11 +21,12 @@ def aligned(groups: DataFrame) -> DataFrame:
     between the strands where the variant alone doesn't."""
     longer = F.col("longer") if "longer" in groups.columns else F.lit(None).cast("string").alias("longer")
     pairs = groups.join(masters(groups), "gid").select("gid", "variant", "ord", "master", longer)
+    pairs = pairs.repartition(2 * groups.sparkSession.sparkContext.defaultParallelism)  # a small table, much work a row
 
     def run(batches):
         for batch in batches:
-            found = [kernels.offset_to_master(v, m, x) for v, m, x in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4)))]
-            offsets, turned = pa.array([o for o, _ in found], pa.int32()), pa.array([t for _, t in found])
+            found = batched.offsets_to_masters(*(batch.column(i).to_pylist() for i in (1, 3, 4)))
+            offsets, turned = pa.array([o for o, _ in found], pa.int32()), pa.array([t for _, t in found], pa.bool_())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], offsets, turned], names=["gid", "variant", "ord", "master", "offset", "reversed"])
 
     kind = dict(pairs.dtypes)
@@ -37,17 +39,20 @@ def shown_variants(hits: DataFrame) -> DataFrame:
     its neighbours from the first read that has two bases on either side."""
     at = F.expr("filter(repeats, r -> substring(seq, r.start + 1, r.stop - r.start + 1) = variant and r.start >= 2 and r.stop + 2 < length(seq))")
     near = hits.withColumn("r", F.get(at, F.lit(0)))
-    wide = F.when(F.col("r").isNotNull(), F.substring("seq", F.col("r.start") - 1, F.col("r.stop") - F.col("r.start") + 5))
-    seen = near.select("gid", "variant", "read_id", wide.alias("wide"))
-    return seen.groupBy("gid", "variant").agg(F.min("read_id").alias("ord"), F.min_by("wide", F.when(F.col("wide").isNotNull(), F.col("read_id"))).alias("longer"))
+    shown = near.groupBy("gid", "variant").agg(F.min("read_id").alias("ord"), F.min(F.when(F.col("r").isNotNull(), F.col("read_id"))).alias("from"))
+    # the sums hold numbers only; the sequence is fetched from the chosen reads
+    wide = F.substring("seq", F.col("r.start") - 1, F.col("r.stop") - F.col("r.start") + 5)
+    chosen = near.where("r is not null").select("gid", "variant", F.col("read_id").alias("from"), wide.alias("wide"))
+    held = chosen.join(shown.select("gid", "variant", "from"), ["gid", "variant", "from"]).groupBy("gid", "variant").agg(F.min("wide").alias("longer"))
+    return shown.select("gid", "variant", "ord").join(held, ["gid", "variant"], "left")
 
 
 def coverage(hits: DataFrame, reach: int | None = None) -> DataFrame:
     """``(gid, pos, base, n)``: how often each base lies at each place along the master.
 
     ``hits(gid, seq, repeats, offset, repeat_len)``.  Every repeat of full length places its whole read (or ``reach``
-    bases either side of it); leading partial repeats are passed over, and a later one ends the read's turn.  Rows are
-    added up before they are shuffled.
+    bases either side of it); leading partial repeats are passed over, and a later one ends the read's turn.  Bases are
+    counted batch by batch, and counts added up before they are shuffled.
     """
     full = lambda r: r["stop"] - r["start"] + 1 == F.col("repeat_len")
     first = F.array_position(F.transform("repeats", full), True)
@@ -55,14 +60,21 @@ def coverage(hits: DataFrame, reach: int | None = None) -> DataFrame:
     whole = F.transform(rest, full)
     upto = F.array_position(whole, False)
     run = F.slice(rest, F.lit(1), F.when(upto > 0, upto - 1).otherwise(F.size("repeats")).cast("int"))
-    placed = hits.where(first > 0).select("gid", "seq", "offset", F.explode(run).alias("r"))
-    low = F.lit(0) if reach is None else F.greatest(F.col("r.start") - reach, F.lit(0))
-    high = F.length("seq") - 1 if reach is None else F.least(F.col("r.stop") + reach, F.length("seq") - 1)
-    # one cut and one split a repeat: picking bases out of the read one by one would walk it again for each
-    letters = F.split(F.upper(F.substring("seq", low + 1, high - low + 1)), "")
-    bases = placed.select("gid", (F.col("offset") - F.col("r.start") + low).alias("shift"), F.posexplode(letters).alias("i", "letter"))
-    letter = F.when(F.col("letter").isin("C", "G", "T"), F.col("letter")).otherwise("A")
-    return bases.select("gid", (F.col("shift") + F.col("i")).alias("pos"), letter.alias("base")).groupBy("gid", "pos", "base").agg(F.count("*").alias("n"))
+    placed = hits.where(first > 0).select(F.col("gid").alias("gid"), "seq", F.col("offset").cast("int").alias("offset"), F.transform(run, lambda r: r["start"]).alias("starts"), F.transform(run, lambda r: r["stop"]).alias("stops"))
+
+    def counted(batches):
+        for batch in batches:
+            gids = batch.column(0).dictionary_encode()
+            counts = np.diff(batch.column(3).offsets.to_numpy())
+            owner = np.repeat(np.arange(batch.num_rows), counts)
+            starts, stops = (batch.column(i).flatten().to_numpy().astype(np.int64) for i in (3, 4))
+            parts = batched.base_counts(batch.column(1).to_pylist(), gids.indices.to_numpy().astype(np.int64), batch.column(2).to_numpy().astype(np.int64), owner, starts, stops, reach)
+            for group, pos, base, n in parts:
+                names = pa.array(["A", "C", "G", "T"]).take(pa.array(base))
+                yield pa.RecordBatch.from_arrays([gids.dictionary.take(pa.array(group)), pa.array(pos, pa.int32()), names, pa.array(n, pa.int64())], names=["gid", "pos", "base", "n"])
+
+    rows = placed.mapInArrow(counted, f"gid {dict(placed.dtypes)['gid']}, pos int, base string, n long")
+    return rows.groupBy("gid", "pos", "base").agg(F.sum("n").alias("n"))
 
 
 def columns(cover: DataFrame) -> DataFrame:
@@ -171,15 +183,17 @@ def canonicalised(hits: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFr
 
 def reprojected(hits: DataFrame, groups: DataFrame, p: Params = Params()) -> DataFrame:
     """Repeats of each read moved onto the true repeat of its group, cut-off repeats at both ends added."""
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-    joined = hits.join(groups.select("gid", "true_dr", "zone_start"), "gid").select("gid", "read_id", "seq", "repeats", (F.col("offset") - F.col("zone_start")).cast("int").alias("front"), "true_dr")
+    flat = lambda name: F.transform("repeats", lambda r: r[name]).alias(name)
+    joined = hits.join(groups.select("gid", "true_dr", "zone_start"), "gid").select("gid", "read_id", "seq", flat("start"), flat("stop"), (F.col("offset") - F.col("zone_start")).cast("int").alias("front"), "true_dr")
 
     def run(batches):
         for batch in batches:
-            rows = batch.select(["seq", "repeats", "front", "true_dr"]).to_pylist()
-            moved = [kernels.onto_true_repeat(r["seq"], [(x["start"], x["stop"]) for x in r["repeats"]], r["front"], r["true_dr"], p) for r in rows]
-            places = pa.array([[{"start": a, "stop": b} for a, b in m] for m in moved], kind)
-            yield pa.RecordBatch.from_arrays([batch.column("gid"), batch.column("read_id"), batch.column("seq"), places], names=["gid", "read_id", "seq", "repeats"])
+            columns = [batch.column(i).to_pylist() for i in range(2, 7)]
+            moved = [kernels.onto_true_repeat(seq, list(zip(starts, stops)), front, repeat, p) for seq, starts, stops, front, repeat in zip(*columns)]
+            ends = pa.array(np.cumsum([0, *map(len, moved)]), pa.int32())
+            both = np.array([x for m in moved for x in m], np.int32).reshape(-1, 2)
+            places = pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["start", "stop"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(ends, places)], names=["gid", "read_id", "seq", "repeats"])
 
     return joined.mapInArrow(run, f"gid {dict(joined.dtypes)['gid']}, read_id long, seq string, repeats array<struct<start:int,stop:int>>")
 

@@ -27,14 +27,14 @@ def nonredundant(variants: DataFrame) -> DataFrame:
 
 
 def matches(reads: DataFrame, patterns: DataFrame, limit: int = MAX_AUTOMATON) -> DataFrame:
-    """``(read_id, pattern, start)``: for each read the match that ends first, of those the longest.
+    """``(read_id, pattern, start, seq)``: for each read the match that ends first, of those the longest.
 
     The size of the pattern set decides: a set within ``limit`` is an automaton and the reads aren't shuffled; a larger
     one is joined on the first k bases of each pattern, k being the shortest pattern's length.
     """
     known = [r[0] for r in patterns.select("pattern").where("pattern <> ''").distinct().limit(limit + 1).collect()]
     if not known:
-        return reads.select("read_id", F.lit("").alias("pattern"), F.lit(0).alias("start")).where("false")
+        return reads.select("read_id", F.lit("").alias("pattern"), F.lit(0).alias("start"), "seq").where("false")
     return _by_automaton(reads, known) if len(known) <= limit else _by_kmers(reads, patterns)
 
 
@@ -49,8 +49,8 @@ def _by_automaton(reads: DataFrame, patterns: list[str]) -> DataFrame:
             automaton.add_word(p, p)
         automaton.make_automaton()
         for batch in batches:
-            ids, found, starts = [], [], []
-            for key, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows, found, starts = [], [], []
+            for row, seq in enumerate(batch.column(1).to_pylist()):
                 best = None
                 for end, p in automaton.iter(seq or ""):
                     if best and end > best[0]:
@@ -58,12 +58,13 @@ def _by_automaton(reads: DataFrame, patterns: list[str]) -> DataFrame:
                     if not best or len(p) > len(best[1]):
                         best = (end, p)
                 if best:
-                    ids.append(key)
+                    rows.append(row)
                     found.append(best[1])
                     starts.append(best[0] - len(best[1]) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string()), pa.array(starts, pa.int32())], names=["read_id", "pattern", "start"])
+            ids, seqs = batch.take(pa.array(rows, pa.int64())).columns
+            yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.string()), pa.array(starts, pa.int32()), seqs], names=["read_id", "pattern", "start", "seq"])
 
-    return reads.select(F.col("read_id").cast("long"), "seq").mapInArrow(run, "read_id long, pattern string, start int")
+    return reads.select(F.col("read_id").cast("long"), "seq").mapInArrow(run, "read_id long, pattern string, start int, seq string")
 
 
 def _by_kmers(reads: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def _by_kmers(reads: DataFrame, patterns: DataFrame) -> DataFrame:
     cut = reads.select("read_id", "seq", F.posexplode(S.kmers("seq", k)).alias("start", "kmer"))
     found = cut.join(keyed, "kmer").where(F.expr("substring(seq, start + 1, length(pattern)) = pattern"))
     first = F.min(F.struct((F.col("start") + F.length("pattern")).alias("end"), "start", "pattern")).alias("m")
-    return found.groupBy(F.col("read_id").cast("long").alias("read_id")).agg(first).select("read_id", "m.pattern", F.col("m.start").cast("int").alias("start"))
+    return found.groupBy(F.col("read_id").cast("long").alias("read_id")).agg(first, F.any_value("seq").alias("seq")).select("read_id", "m.pattern", F.col("m.start").cast("int").alias("start"), "seq")
 
 
 def not_found_before(reads: DataFrame, found: DataFrame) -> DataFrame:

@@ -205,13 +205,13 @@ def without_partials(t):
 @query(f"""select read_id, arg_min(pattern, (instr(seq, pattern) + length(pattern), -length(pattern))) as pattern, cast(min(instr(seq, pattern) - 1) as integer) as start
   from reads, (select dr as pattern from families union select {RC('dr')} from families) where contains(seq, pattern) group by read_id""")
 def recruit_reads(t):
-    return recruit.matches(t.reads.select("read_id", "seq"), recruit.both_strands(t.families.select(F.col("dr").alias("pattern"))))
+    return recruit.matches(t.reads.select("read_id", "seq"), recruit.both_strands(t.families.select(F.col("dr").alias("pattern")))).drop("seq")
 
 
 @query(f"""select read_id, arg_min(pattern, (instr(seq, pattern) + length(pattern), -length(pattern))) as pattern, cast(min(instr(seq, pattern) - 1) as integer) as start
   from reads, (select dr as pattern from families union select {RC('dr')} from families) where contains(seq, pattern) group by read_id""")
 def recruit_by_kmers(t):
-    return recruit.matches(t.reads.select("read_id", "seq"), recruit.both_strands(t.families.select(F.col("dr").alias("pattern"))), limit=1)
+    return recruit.matches(t.reads.select("read_id", "seq"), recruit.both_strands(t.families.select(F.col("dr").alias("pattern"))), limit=1).drop("seq")
 
 
 @query("select read_id, family from reads where n_spacers < 4")

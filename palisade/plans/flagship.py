@@ -53,15 +53,19 @@ def find_arrays(reads: DataFrame, p: Params = Params()) -> dict[str, DataFrame]:
     found = durable.written(detect.oriented(detect.repeat_bearing(reads.select("read_id", "seq"), p)), "hits")
     groups = durable.written(cluster.grouped(detect.variants(found), p), "groups")
     patterns = recruit.nonredundant(groups)
-    more = recruit.matches(recruit.not_found_before(reads, found), patterns)
-    more = more.join(reads.select("read_id", "seq"), "read_id")
+    # all reads are searched where they lie, and only those with a match are compared with the reads found before
+    more = recruit.not_found_before(recruit.matches(reads, patterns), found)
     span = F.array(F.struct(F.col("start").alias("start"), (F.col("start") + F.length("pattern") - 1).cast("int").alias("stop")))
     single = detect.oriented(more.select("read_id", "seq", F.length("pattern").alias("repeat_len"), span.alias("repeats")))
     every = found.unionByName(single).join(groups, "variant")
-    held, true = consensus.consensus(every.select("gid", "variant", "read_id", "seq", "repeats", "repeat_len"), p)
+    every = durable.written(every.select("gid", "variant", "read_id", "seq", "repeats", "repeat_len"), "every")
+    held, true = consensus.consensus(every, p)
     true = durable.written(true, "true")
     moved, true = consensus.canonicalised(consensus.reprojected(held, true, p), true)
-    moved = durable.written(moved, "moved")
+    # groups with the same true repeat are one
+    names = durable.written(consensus.merged_identical(true), "names")
+    true = true.join(names, "gid").where("gid = keep").drop("keep")
+    moved = durable.written(moved.join(names, "gid").withColumn("gid", F.col("keep")).drop("keep"), "moved")
     given = durable.written(spacers.contributions(moved.withColumnRenamed("gid", "family"), p.node_kmer), "given")
     table = durable.written(graph.spacers(given), "spacers")
     jumps = durable.written(graph.jumping_edges(given, table), "jumps")

@@ -59,3 +59,19 @@ def test_batch_finds_what_the_kernel_finds(p):
 def test_nothing_to_search():
     assert [len(x) for x in batched.find_repeats([], Params())] == [0] * 5
     assert [len(x) for x in batched.find_repeats([None, "ACGT"], Params())] == [0] * 5
+
+
+def test_alignment_of_many_pairs_is_that_of_each():
+    rnd = random.Random(3)
+    variants, masters, longer = [], [], []
+    for _ in range(150):
+        master = "".join(rnd.choice(rnd.choice(["ACGT", "ACGTN", "AC"])) for _ in range(rnd.randrange(20, 48)))
+        v = master[rnd.randrange(8) : len(master) - rnd.randrange(6)]
+        v = rnd.choice([v, kernels._complement(v), v[:9] + "GG" + v[11:], v[:7] + v[8:], "ACGT" * 6, master])
+        variants.append(v)
+        masters.append(master)
+        longer.append(rnd.choice([None, "AC" + v + "GT"]))
+    scores, shifts = batched.align(variants, masters)
+    assert list(zip(scores.tolist(), shifts.tolist())) == [kernels.align(v, m) for v, m in zip(variants, masters)]
+    assert batched.offsets_to_masters(variants, masters, longer) == [kernels.offset_to_master(*x) for x in zip(variants, masters, longer)]
+    assert batched.offsets_to_masters([], [], []) == []
