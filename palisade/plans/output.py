@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import clean, report
-from ..operators.durable import written
+from ..operators import clean
+from ..operators.durable import numbered, written
 from ..sources import arrays_xml, dot, seqfile
 
 
 def tables(found: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The flat tables of :mod:`palisade.operators.report`; ids are numbers within each group, read ids accessions."""
     groups = found["groups"]
-    named = report._numbered(groups.select("gid"), "gid").select("gid", F.concat(F.lit("G"), F.col("number").cast("string")).alias("name"))
+    named = numbered(groups.select("gid"), "gid").select("gid", F.concat(F.lit("G"), F.col("number").cast("string")).alias("name"))
     key = F.concat_ws(":", "low", "high")
     number = F.row_number().over(W.partitionBy("family").orderBy("ord_read", "ord_idx")).cast("string")
     held = found["spacers"].join(named, F.col("family") == F.col("gid")).drop("gid")
