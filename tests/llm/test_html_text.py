@@ -25,7 +25,7 @@ CASES = [
     ("</div></p>x</b>", "x"),
     ("<h1>T</h1>text", "T\n\ntext"),
     ("<a href='x'>link</a>, then", "link, then"),
-    ("<select><option>no</select>yes", "yes"),
+    ("<select><option>one<option>two</select>yes", "one yes"),
     ("", ""),
     ("   \n ", ""),
     (None, None),
@@ -75,11 +75,66 @@ def test_pages_table(spark):
         ("<p data-hidden>a<p HIDDEN=''>b<p style='color:red; DISPLAY : none!important'>c", "a"),
         ("<p style=display:none>a</p>b", "b"),
         ("<p>a<template><div>x<p>y</div></template>b", "ab"),
-        ("<p>a<noscript><p>x</noscript><svg><p>x</svg>b", "ab"),
-        ("<select><option>x<option>y</select>b", "b"),
+        ("<p>a<noscript><p>x</noscript><svg><desc>x</desc></svg>b", "ab"),
+        ("<p>a<canvas><p>x</canvas>b", "ab"),
         ("<head><title>t</title><meta charset=utf-8>\n<p>a", "a"),
         ("<head><title>t</title>a", "a"),
     ],
 )
 def test_hidden_elements_end_where_they_should(page, text):
     assert rendered(page) == text
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ('<p class="box hidden big">a', "a"),
+        ('<div title="the hidden gem">b', "b"),
+        ('<p aria-hidden="true">e', "e"),
+        ("<svg><title>no</title><text>drawn</text></svg> <math><mi>x</mi></math>", "drawn x"),
+        ("<select><option>one<option selected>two</select>", "two"),
+        ("<select multiple><option>one<option>two</select>", "one two"),
+        ('<div style="visibility:hidden">no<b style="visibility:visible">yes</b>no</div>', "yes"),
+        ('<div style="display:none">no<b style="visibility:visible">no</b></div>yes', "yes"),
+        ("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>", "A  B\n   C"),
+        ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>dd<td>e<tr><td>f</table>", "a   b  c\ndd     e\nf"),
+        ("<ol><li>x<li value=7>y<li>z</ol>", "1. x\n7. y\n8. z"),
+        ("a <b x='1>2'>c</b> < d <e", "a c < d <e"),
+        ("<p>" + "<div>" * 300 + "x" + "</div>" * 300 + "y", "x\ny"),
+        ("<div hidden>" + "<div>" * 300 + "x" + "</div>" * 300 + "</div>y", "y"),
+    ],
+)
+def test_visible_text_of_all_kinds(page, text):
+    assert rendered(page) == text
+
+
+@pytest.mark.parametrize("form", ["<a ", "<!", '<a "', "<a<a", "<a x='", "</p", "<div hidden><b>", "<div hidden><li>", "<div>", "<table><tr><td rowspan=9>x<td>y", "<svg><p>", "<b></i>"])
+def test_broken_markup_takes_linear_time(form):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        rendered(form * n + "'\">")
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(16_000) < 0.2 + 20 * seconds(2_000)
+
+
+def test_all_plain_words_of_random_markup_are_kept():
+    import random
+
+    rnd, tags = random.Random(4), "p div b i span ul li table tr td th ol h1 section a em dl dt dd pre svg".split()
+    for _ in range(300):
+        words, page, held = [], [], []
+        for k in range(rnd.randrange(1, 60)):
+            x = rnd.random()
+            if x < 0.4:
+                words.append(f"w{k}")
+                page.append(f" w{k} ")
+            elif x < 0.75 or not held:
+                held.append(rnd.choice(tags))
+                page.append(f"<{held[-1]} class='hidden x{k}'>")
+            else:
+                page.append(f"</{held.pop()}>")
+        assert sorted(w for w in rendered("".join(page)).split() if w.startswith("w")) == sorted(words)
