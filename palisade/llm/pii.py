@@ -12,29 +12,38 @@ kind      valid                                                 permuted
 card      13 to 19 digits, Luhn                                 all but the last digit; that one is worked out again
 phone     8 to 15 digits in a telephone's punctuation           the last ten digits (or all, if fewer)
 ssn       ddd-dd-dddd, issued ranges                            all
-iban      remainder 1 modulo 97                                 the account characters; check digits worked out again
-date      1800-01-01 to 2199-12-31; y-m-d, m/d/y, d/m/y, d.m.y  the day within those 400 years
+iban      remainder 1 modulo 97, printed in fours or not        the account characters; check digits worked out again
+date      1800-01-01 to 2199-12-31; y-m-d, m/d/y, d/m/y, d.m.y  the day within those 400 years, among the days that
+                                                                are written in the same way
 ip        four octets                                           all 32 bits
 email     name@domain                                           letters and digits of the name
 secret    32 to 64 hexadecimal digits                           all
 ========  ====================================================  =================================================
 
 Letters keep their case and are linked whatever their case.  Everything else in the text is left alone, among it numbers
-that fail their check.  Slashed dates are read as m/d/y, or d/m/y where only that is valid.
+that fail their check.  Slashed dates are read as m/d/y, or d/m/y where only that is valid.  A day and a month without
+leading noughts stay so, and a date that is only valid as d/m/y becomes another one: the network is walked on until it
+reaches a day that is written as the first one was, so that different dates in one form stay different.
 
 Scale.  A projection: no shuffle, no Python, nothing collected.  The network runs for matches only; texts without a digit
 or ``@`` are not searched at all.
 
-Defined results: null text stays null; empty text stays empty; repeated rows give equal rows; other columns pass through.
+Repetitions in the patterns give nothing back, so that a text of any length is searched without depth.
+
+Defined results: null text stays null; empty text stays empty; very long texts are searched whole; repeated rows give equal
+rows; other columns pass through, whatever their names (one named as ``kinds`` gives way); an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-#: For tests and demonstrations; production sets ``spark.palisade.pii.key``.
+KEY = "spark.palisade.pii.key"  # the setting that holds the key
+#: For tests and demonstrations only: anyone can undo its pseudonyms.
 DEMO_KEY = "palisade-demonstration-key"
 
 _DATE = r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}"
@@ -42,9 +51,10 @@ _PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d
 #: Candidates, in order of preference at one place.
 PATTERN = "|".join(
     [
-        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
         r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])",
-        r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])",
+        r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}[A-Z0-9]{11,30}+(?![0-9A-Za-z])",
+        r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}+(?: [A-Z0-9]{1,3})?+(?![0-9A-Za-z])",
         rf"(?<![0-9A-Za-z./-])(?:{_DATE})(?![0-9A-Za-z/-])(?!\.\d)",
         r"(?<![0-9A-Za-z.])(?:\d{1,3}\.){3}\d{1,3}(?![0-9A-Za-z])(?!\.\d)",
         r"(?<![0-9A-Za-z-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z-])",
@@ -53,6 +63,7 @@ PATTERN = "|".join(
     ]
 )
 _DAYS, _DAYS_LEFT, _DAYS_RIGHT = 146_097, 189, 773  # the days of 400 years, as a product
+WALK = 200  # steps of a date's walk at most
 
 
 def _let(value: Column, body) -> Column:
@@ -168,10 +179,15 @@ def _mod97(text: Column) -> Column:
 
 
 def _iban(key: str, m: Column) -> Column:
-    country, rest = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.length(m))
-    valid = _mod97(F.concat(rest, F.substring(m, 1, 4))) == 1
-    new = feistel_text(key, F.concat(F.lit("iban"), country), rest)
-    return F.when(valid, _let(new, lambda n: F.concat(country, F.lpad((98 - _mod97(F.concat(n, country, F.lit("00")))).cast("string"), 2, "0"), n)))
+    def new(c):
+        country, rest = F.substring(c, 1, 2), F.substring(c, F.lit(5), F.length(c))
+        valid = _mod97(F.concat(rest, F.substring(c, 1, 4))) == 1
+        moved = feistel_text(key, F.concat(F.lit("iban"), country), rest)
+        whole = _let(moved, lambda n: F.concat(country, F.lpad((98 - _mod97(F.concat(n, country, F.lit("00")))).cast("string"), 2, "0"), n))
+        printed = lambda w: F.when(m.contains(" "), F.trim(F.regexp_replace(w, "(.{4})", "$1 "))).otherwise(w)
+        return F.when(valid, _let(whole, printed))
+
+    return _let(F.regexp_replace(m, " ", ""), new)
 
 
 def _date(key: str, m: Column) -> Column:
@@ -187,22 +203,42 @@ def _date(key: str, m: Column) -> Column:
         """Year, month and day, and the order they stand in (null if it is no date)."""
         parts = [p[i].cast("int") for i in range(3)]
         in_order = F.when(mark == "-", "ymd").when((mark == "/") & fits(parts[2], parts[0], parts[1]), "mdy").otherwise("dmy")
-        pad = F.length(p[0]) + F.length(p[1]) + F.length(p[2]) == 8
-        pick = lambda o, ymd, mdy, dmy: F.when(o == "ymd", parts[ymd]).when(o == "mdy", parts[mdy]).otherwise(parts[dmy])
-        return _let(in_order, lambda o: new(F.struct(o.alias("o"), pad.alias("pad"), pick(o, 0, 2, 2).alias("y"), pick(o, 1, 0, 1).alias("m"), pick(o, 2, 1, 0).alias("d"))))
+        # two digits each, or no leading noughts, or a nought before one of them only
+        wide = [F.length(p[i]) == 2 for i in range(3)]
+        pick = lambda o, ymd, mdy, dmy: F.when(o == "ymd", ymd).when(o == "mdy", mdy).otherwise(dmy)
+        fields = lambda o: F.struct(
+            o.alias("o"), pick(o, parts[0], parts[2], parts[2]).alias("y"), pick(o, parts[1], parts[0], parts[1]).alias("m"), pick(o, parts[2], parts[1], parts[0]).alias("d"),
+            pick(o, wide[1], wide[0], wide[1]).alias("wm"), pick(o, wide[2], wide[1], wide[0]).alias("wd"),
+        )
+        return _let(in_order, lambda o: new(fields(o)))
 
     def new(value):
         def moved(s):
             day = F.date_diff(F.make_date(s["y"], s["m"], s["d"]), first)
-            done = _let(day, lambda d: feistel(key, F.lit("date"), F.floor(d / _DAYS_RIGHT), d % _DAYS_RIGHT, F.lit(_DAYS_LEFT), F.lit(_DAYS_RIGHT)))
-            date = _let(done, lambda x: F.date_add(first, (x["l"] * _DAYS_RIGHT + x["r"]).cast("int")))
-            return F.when(fits(s["y"], s["m"], s["d"]), _let(date, lambda n: shown(s, n)))
+
+            def step(day):
+                done = feistel(key, F.lit("date"), F.floor(day / _DAYS_RIGHT), day % _DAYS_RIGHT, F.lit(_DAYS_LEFT), F.lit(_DAYS_RIGHT))
+                return _let(done, lambda x: (x["l"] * _DAYS_RIGHT + x["r"]).cast("int"))
+
+            def like(n):
+                """Is the day written in the same form?"""
+                date = F.date_add(first, n)
+                month, dom = F.month(date), F.dayofmonth(date)
+                swapped = (mark == "/") & (s["o"] == "dmy")
+                return ((month > 9) <= s["wm"]) & ((dom > 9) <= s["wd"]) & (~swapped | (dom > 12))
+
+            def walk(acc, _):
+                return F.when(acc["ok"], acc).otherwise(_let(step(acc["n"]), lambda n: F.struct(n.alias("n"), like(n).alias("ok"))))
+
+            start = F.struct(day.alias("n"), F.lit(False).alias("ok"))
+            done = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, walk)
+            return F.when(fits(s["y"], s["m"], s["d"]), _let(done, lambda x: shown(s, F.date_add(first, x["n"]))))
 
         return _let(value, moved)
 
     def shown(s, n):
-        two = lambda v: F.when(s["pad"], F.lpad(v.cast("string"), 2, "0")).otherwise(v.cast("string"))
-        parts = F.struct(two(F.dayofmonth(n)).alias("d"), two(F.month(n)).alias("m"), F.year(n).cast("string").alias("y"))
+        two = lambda v, wide: F.when(wide, F.lpad(v.cast("string"), 2, "0")).otherwise(v.cast("string"))
+        parts = F.struct(two(F.dayofmonth(n), s["wd"]).alias("d"), two(F.month(n), s["wm"]).alias("m"), F.year(n).cast("string").alias("y"))
         return _let(parts, lambda p: F.when(s["o"] == "ymd", F.concat_ws("-", p["y"], p["m"], p["d"])).when(s["o"] == "mdy", F.concat_ws("/", p["m"], p["d"], p["y"])).otherwise(F.concat(p["d"], mark, p["m"], mark, p["y"])))
 
     return _let(F.split(m, r"[-/.]"), ordered)
@@ -241,16 +277,33 @@ def replaced(m: Column, key: str) -> Column:
     return F.struct(kind.alias("kind"), text.alias("text"))
 
 
+def key_or_demo(spark: SparkSession) -> str:
+    """The session's key or, with a warning, the demonstration key."""
+    key = spark.conf.get(KEY, None)
+    if not key:
+        warnings.warn(f"{KEY} isn't set: the demonstration key makes pseudonyms that anyone can undo", stacklevel=2)
+    return key or DEMO_KEY
+
+
 def pseudonymised(docs: DataFrame, key: str | None = None, column: str = "text", kinds: str | None = None) -> DataFrame:
-    """``docs`` with the pseudonyms in place; ``kinds`` names a further column for the kinds of the values replaced."""
-    key = key or docs.sparkSession.conf.get("spark.palisade.pii.key", DEMO_KEY)
-    text = F.col(column)
+    """``docs`` with the pseudonyms in place; ``kinds`` names a further column for the kinds of the values replaced.
+    Without ``key`` the session's setting ``KEY`` must hold one."""
+    key = key or docs.sparkSession.conf.get(KEY, None)
+    if not key:
+        raise ValueError(f"no key: pass one or set {KEY}")
+    quote = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    names = docs.columns
+    at = names.index(column)
+    # inside, columns go by their place, so that no name can clash
+    docs = docs.select(*[quote(c).alias(f"c{i}") for i, c in enumerate(names)])
+    text = F.col(f"c{at}").cast("string")
     found = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda m: F.struct(m.alias("was"), replaced(m, key).alias("new")))
     held = F.when(text.rlike("[0-9@]"), found)
-    docs = docs.withColumn("__found", held)
-    joined = F.zip_with(F.split(text, PATTERN, -1), F.col("__found"), lambda piece, m: F.concat(piece, F.coalesce(m["new"]["text"], m["was"], F.lit(""))))
-    out = docs.withColumn(column, F.when(F.size(F.col("__found")) > 0, F.array_join(joined, "")).otherwise(text))
+    docs = docs.withColumn("found", held)
+    joined = F.zip_with(F.split(text, PATTERN, -1), F.col("found"), lambda piece, m: F.concat(piece, F.coalesce(m["new"]["text"], m["was"], F.lit(""))))
+    new = F.when(F.size("found") > 0, F.array_join(joined, "")).otherwise(text)
+    out = [(new if i == at else F.col(f"c{i}")).alias(c) for i, c in enumerate(names) if c != kinds]
     if kinds:
-        valid = F.filter(F.col("__found"), lambda m: m["new"]["text"].isNotNull())
-        out = out.withColumn(kinds, F.coalesce(F.transform(valid, lambda m: m["new"]["kind"]), F.array().cast("array<string>")))
-    return out.drop("__found")
+        valid = F.filter("found", lambda m: m["new"]["text"].isNotNull())
+        out.append(F.coalesce(F.transform(valid, lambda m: m["new"]["kind"]), F.array().cast("array<string>")).alias(kinds))
+    return docs.select(*out)

@@ -10,7 +10,7 @@ from .common import table
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymised(docs, kinds="kinds")
+    return pii.pseudonymised(docs, pii.key_or_demo(spark), kinds="kinds")
 
 
 def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import datetime
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from palisade.llm import pii
@@ -79,10 +80,47 @@ def test_defined_cases(spark):
     out = pii.pseudonymised(docs, "k", kinds="kinds").collect()
     assert [r.text for r in out[:4]] == [None, "", "plain text", "plain text"] and out[0].kinds == []
     assert out[4].text.startswith("7 7 ") and out[4].kinds == ["card"] and out[5].text[0] == "\n" == out[5].text[-1]
-    assert pii.pseudonymised(docs, "k").columns == docs.columns and pii.pseudonymised(docs.where("false")).count() == 0
+    assert pii.pseudonymised(docs, "k").columns == docs.columns and pii.pseudonymised(docs.where("false"), "k").count() == 0
 
 
 def test_no_python_on_the_executors(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
-    plan = pii.pseudonymised(spark.sql("select 1L doc_id, 'x' text"))._jdf.queryExecution().executedPlan().toString()
+    plan = pii.pseudonymised(spark.sql("select 1L doc_id, 'x' text"), "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and docs.count() == 1
+
+
+def test_dates_of_every_written_form_stay_apart(spark):
+    days = spark.range(146_097).select(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    y, m, d = F.year("d"), F.month("d"), F.dayofmonth("d")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    written = [F.concat_ws("/", two(m), two(d), y), F.concat_ws("/", m, d, y), F.concat_ws("/", two(d), two(m), y), F.concat_ws("/", d, m, y), F.concat_ws(".", two(d), two(m), y), F.concat_ws(".", d, two(m), y)]
+    forms = days.select(F.explode(F.array(*written)).alias("text")).distinct().withColumn("was", F.col("text"))
+    out = pii.pseudonymised(forms.repartition(8), "k")
+    n, apart, alike = out.agg(F.count("*"), F.count_distinct("text"), F.count_if(F.length("text") == F.length("was"))).first()
+    assert n == apart == alike
+
+
+def test_one_day_in_full_forms_stays_linked(spark):
+    iso, us, dotted = new_text(spark, "2020-07-09", "07/09/2020", "09.07.2020")
+    assert us == "/".join((iso[5:7], iso[8:], iso[:4])) and dotted == ".".join((iso[8:], iso[5:7], iso[:4]))
+
+
+def test_printed_ibans(spark):
+    plain, printed = new_text(spark, "DE89370400440532013000", "pay DE89 3704 0044 0532 0130 00 now")
+    assert printed == "pay " + " ".join(plain[i : i + 4] for i in range(0, 22, 4)) + " now" and plain != "DE89370400440532013000"
+    assert new_text(spark, "DE88 3704 0044 0532 0130 00") == ["DE88 3704 0044 0532 0130 00"]
+
+
+def test_a_megabyte_of_each_form_is_searched(spark):
+    forms = ["x@" + "a." * 500_000 + "com", "a" * 10**6 + "@b.c", "1" * 10**6, "1.2.3." * 170_000, "GB29 " + "NWBK " * 200_000, "4111 " * 200_000, "+1 555 " * 150_000, "12-34-" * 170_000, "1/2/" * 250_000, "AB12" + "X" * 10**6]
+    out = new_text(spark, *forms)
+    assert [len(x) for x in out] == [len(x) for x in forms] and out[1:] == forms[1:]
+
+
+def test_a_key_is_needed_and_names_may_clash(spark):
+    docs = spark.createDataFrame([("4111111111111111", 1, "x"), (None, 2, "y")], "text string, found int, `c.0` string")
+    with pytest.raises(ValueError):
+        pii.pseudonymised(docs)
+    out = pii.pseudonymised(docs, "k", kinds="kinds")
+    assert out.columns == ["text", "found", "c.0", "kinds"] and sorted(r[1:] for r in out.collect()) == [(1, "x", ["card"]), (2, "y", [])]
+    assert pii.pseudonymised(docs.where("false"), "k").count() == 0

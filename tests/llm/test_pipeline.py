@@ -31,7 +31,7 @@ def test_each_stage_against_its_operator(spark, tmp_path):
 
     assert ids(seen[1][1]) == {r.component_id for r in simhash.digest(seen[1][0]).collect()}
     assert ids(seen[2][1]) == ids(seen[2][0]) - ids(decontaminate.contaminated(seen[2][0], table(spark, SF, "benchmark")))
-    assert seen[3][1].exceptAll(pii.pseudonymised(seen[3][0])).count() == 0 and seen[3][1].count() == seen[3][0].count()
+    assert seen[3][1].exceptAll(pii.pseudonymised(seen[3][0], pii.DEMO_KEY)).count() == 0 and seen[3][1].count() == seen[3][0].count()
     assert set(seen[4][1].columns) >= {"shard", "slot", "source", "block", "doc_ids", "text"}
     words = sum(len(r.text.encode().split()) for r in seen[4][0].collect())
     assert abs(sum(len(r.text.split(" ")) for r in seen[4][1].collect()) - words) < 0.02 * words
