@@ -13,7 +13,8 @@ keeps ``k`` neighbours a query.
 Defined results: vectors that are null, empty, zero, or with null or non-finite parts take no part, neither do null ids;
 vectors meet those of their own dimension only.  Rows with the query's id are the query's own.  An id that is
 repeated counts once, with its nearest vector; a query id that is repeated is answered once, for its smallest vector in
-dictionary order.  Ties go to the smaller id.  An empty table gives no rows.
+dictionary order.  Ties go to the smaller id.  An empty table gives no rows.  Columns beside id and vector, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -62,10 +63,16 @@ def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, in double precision; products are added in the order of the dimensions, so that the same pair gives
-    the same number wherever it is computed."""
+    the same number wherever it is computed.  Vectors are scaled by powers of two before, which changes no digit and keeps
+    squares of very large and very small numbers in range."""
+    a, b = _in_range(a), _in_range(b)
     return _dot(a, b) / (np.sqrt(_dot(a, a)) * np.sqrt(_dot(b, b)))
 
 
+def _in_range(x: np.ndarray) -> np.ndarray:
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if len(x) else x
+
+
 def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.zeros(len(a))
     for i in range(a.shape[1]):

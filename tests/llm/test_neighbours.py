@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+
 from palisade.llm import neighbours as N
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score double"
@@ -77,3 +79,17 @@ def test_few_candidates_and_empty(spark):
 def test_one_vector_makes_up_a_third_of_all(spark):
     rows = vectors(200) + [(1000 + i, vectors(1)[0][1]) for i in range(100)] + [(5, vectors(6)[5][1])] * 100
     same(found(N.digest(table(spark, rows))), slow(rows))
+
+
+def test_vectors_of_extreme_size_have_a_cosine(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [1.0, 0.0]), (3, [-1e-310, 1e-310]), (4, [2.0**1000, 0.0])]
+    got = N.digest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 4, 3]
+    assert [round(r.score, 12) for r in got] == [1.0, round(0.5**0.5, 12), round(0.5**0.5, 12), 0.0]
+
+
+def test_scaling_changes_no_digit():
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(200, 33)) * 3, rng.normal(size=(200, 33)) * 700
+    plain = N._dot(a, b) / (np.sqrt(N._dot(a, a)) * np.sqrt(N._dot(b, b)))
+    assert np.array_equal(N.cosine(a, b), plain)
