@@ -13,12 +13,15 @@ subsequence of words with the item, within a stretch of 1.25 times the item's le
 order, or ``PARAPHRASED`` of it together with ``ANSWERED`` of its answer.
 
 Scale.  The texts are read twice and never shuffled.  What moves: ``SKETCH`` vectors a task.  The benchmark is taken in
-blocks of ``ITEM_BLOCK`` items, so that what is broadcast has a fixed bound; its words fall into at most ``MAX_TERMS``
-columns (beyond that by hash; the check of candidates is on the words themselves).
+blocks of ``ITEM_BLOCK`` items and ``BLOCK_WORDS`` words at most; one block at a time is sent to the tasks, and what it
+finds is written before the next one is, so that what is broadcast has a fixed bound and passes grow with the blocks.  The
+words of a block fall into at most ``MAX_TERMS`` columns (beyond that by hash; the check of candidates is on the words
+themselves).
 
 Defined results: null or empty texts and items match nothing; items of fewer than ``SHORT`` words match as a whole word
 for word, those of under ``LEAST`` never do; a pair is returned once, with its best stretch; repeated document rows give
-repeated pairs; empty tables give none.
+repeated pairs; empty tables give none.  Columns beside id and text, whatever their names, pass through ``keep_clean`` and
+aren't read by ``contaminated``.
 """
 
 from __future__ import annotations
@@ -32,12 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches
+from .common import map_batches, materialise
 
 STRIDE, RANK, SKETCH, SEED = 16, 128, 256, 7
 MIN_COSINE, COPIED, PARAPHRASED, ANSWERED, SLACK = 0.43, 0.7, 0.55, 0.85, 1.25
 SHORT, LEAST, THIN = 10, 4, 12
-ITEM_BLOCK, MAX_TERMS = 5_000, 1 << 15
+ITEM_BLOCK, BLOCK_WORDS, MAX_TERMS = 5_000, 1 << 20, 1 << 15
 CHUNK = 1 << 15  # words in hand at once
 SLOTS, MOST = 1 << 20, 1 << 21  # slots that tell at once most runs of no item; hits times items in hand at once
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -307,26 +310,31 @@ def _sketched(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray, in
     return sketch, frequency, n
 
 
-def item_blocks(benchmark: DataFrame, size: int = ITEM_BLOCK):
-    """The benchmark, block by block of bounded size."""
-    block = []
+def item_blocks(benchmark: DataFrame, size: int = ITEM_BLOCK, most: int = BLOCK_WORDS):
+    """The benchmark, block by block of bounded size (an item of more words than that is a block of its own)."""
+    block, held = [], 0
     for r in benchmark.select("item_id", F.col("text").cast("string")).toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == size:
+        n = (r[1] or "").count(" ") + 1
+        if block and (len(block) == size or held + n > most):
             yield Items(block)
-            block = []
+            block, held = [], 0
+        block.append((r[0], r[1]))
+        held += n
     if block:
         yield Items(block)
 
 
-def ready(docs: DataFrame, benchmark: DataFrame) -> list:
-    """The solved item blocks; they reach the tasks with the function that uses them, which Spark broadcasts."""
-    out = []
+def solved_blocks(docs: DataFrame, benchmark: DataFrame):
+    """``(items, whether it is the last)`` of each block that has items to look for, one at a time."""
+    waiting = None
     for items in item_blocks(benchmark):
         if items.keys:
+            if waiting:
+                yield waiting, False
+            waiting = items
             items.solve(*_sketched(docs, items))
-            out.append(items)
-    return out
+    if waiting:
+        yield waiting, True
 
 
 PAIRS = "doc_id long, item_id long, cosine double, share double, answer_share double, word_at long"
@@ -334,13 +342,19 @@ PAIRS = "doc_id long, item_id long, cosine double, share double, answer_share do
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row of ``PAIRS`` for each document and benchmark item found in it."""
-    blocks = ready(docs, benchmark)
+    out = None
+    for items, last in solved_blocks(docs, benchmark):
+        found = _found(docs, items)
+        found = found if last else materialise(found, "pairs")
+        out = found if out is None else out.unionByName(found)
+    return docs.sparkSession.createDataFrame([], PAIRS) if out is None else out
 
+
+def _found(docs: DataFrame, items: Items) -> DataFrame:
     def run(batches):
         for batch in batches:
-            texts, keys, rows = [t.as_py() for t in batch.column(1).cast(pa.large_binary())], batch.column(0).to_pylist(), []
-            for items in blocks:
-                rows += [(keys[i], items.keys[k], c, s, a, w) for i, k, c, s, a, w in items.search(texts)]
+            texts, keys = [t.as_py() for t in batch.column(1).cast(pa.large_binary())], batch.column(0).to_pylist()
+            rows = [(keys[i], items.keys[k], c, s, a, w) for i, k, c, s, a, w in items.search(texts)]
             columns = list(zip(*rows)) if rows else [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "cosine", "share", "answer_share", "word_at"])
@@ -350,16 +364,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, columns unchanged, in which no benchmark item is found."""
-    blocks, names = ready(docs, benchmark), docs.columns
+    left = docs
+    for items, last in solved_blocks(docs, benchmark):
+        left = _without(left, items)
+        left = left if last else materialise(left, "clean")
+    return left
+
+
+def _without(docs: DataFrame, items: Items) -> DataFrame:
+    names = docs.columns
     at = names.index("text")
 
     def run(batches):
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(at).cast(pa.large_binary())]
-            clean = np.ones(len(texts), bool)
-            for items in blocks:
-                for i, *_ in items.search(texts):
-                    clean[i] = False
+            clean = np.ones(batch.num_rows, bool)
+            for i, *_ in items.search([t.as_py() for t in batch.column(at).cast(pa.large_binary())]):
+                clean[i] = False
             yield batch.filter(pa.array(clean)).rename_columns(names)
 
     return map_batches(docs, run, T.StructType(docs.schema.fields))

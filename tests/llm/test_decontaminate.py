@@ -100,3 +100,35 @@ def test_exact_copies_of_long_items(spark):
     found = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     got = {(r.doc_id, r.item_id) for r in found.collect()}
     assert {(k, k) for k, _ in items} <= got and all(d < 100 for d, _ in got)
+
+
+def test_items_of_any_length_are_found_whole_or_paraphrased(spark):
+    """Copies, and paraphrases that the exhaustive rule of the longest common subsequence takes, of items of 10 to 2,000 words."""
+    rnd = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    weights = [1 / (k + 3) for k in range(len(vocabulary))]
+    words = lambda n: rnd.choices(vocabulary, weights, k=n)
+    items = [words(n) for n in (10, 20, 40, 100, 200, 400, 800, 1200, 2000) for _ in range(6)]
+    docs = [(1000 + i, " ".join(words(400))) for i in range(300)]
+    want = set()
+    for k, item in enumerate(items):
+        for kind in (0, 1):
+            piece = list(item)
+            if kind:
+                places = range(k % 7, len(piece), 7)
+                for p, w in zip(places, words(len(places))):
+                    piece[p] = w
+            body = words(rnd.randrange(0, 90)) + piece + words(rnd.randrange(0, 90))
+            docs.append((2 * k + kind, " ".join(body)))
+            want.add((2 * k + kind, k))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in D.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), bench).collect()}
+    assert {x for x in want if x[0] % 2 == 0} <= found
+    assert len(want & found) >= 0.97 * len(want) and not {x for x in found if x[0] >= 1000}
+
+
+def test_blocks_are_bounded_by_words_too(spark):
+    bench = spark.createDataFrame([(k, "a b c d " * (1 + 9 * k)) for k in range(8)], "item_id long, text string").coalesce(1)
+    blocks = list(D.item_blocks(bench, size=3, most=100))
+    assert sorted(k for b in blocks for k in b.keys) == list(range(8)) and max(len(b.keys) for b in blocks) <= 3
+    assert all(len(b.keys) == 1 or sum(map(len, b.words)) <= 100 for b in blocks)
