@@ -29,7 +29,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, private values replaced by pseudonyms."""
-    return pii.pseudonymised(docs)
+    return pii.pseudonymised(docs, pii.key_or_demo(spark))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
