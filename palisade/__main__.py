@@ -104,10 +104,10 @@ def main(argv: list[str]) -> int:
 
 def _renumbered(df):
     """Groups named G1, G2, ... by their former ids."""
-    from .operators import report
+    from .operators.durable import numbered
 
-    numbered = report._numbered(df.withColumn("__id", F.col("_gid")), "__id")
-    return numbered.withColumn("_gid", F.concat(F.lit("G"), F.col("number").cast("string"))).select(*df.columns)
+    out = numbered(df.withColumn("__id", F.col("_gid")), "__id")
+    return out.withColumn("_gid", F.concat(F.lit("G"), F.col("number").cast("string"))).select(*df.columns)
 
 
 if __name__ == "__main__":
