@@ -39,12 +39,11 @@ def shown_variants(hits: DataFrame) -> DataFrame:
     its neighbours from the first read that has two bases on either side."""
     at = F.expr("filter(repeats, r -> substring(seq, r.start + 1, r.stop - r.start + 1) = variant and r.start >= 2 and r.stop + 2 < length(seq))")
     near = hits.withColumn("r", F.get(at, F.lit(0)))
-    shown = near.groupBy("gid", "variant").agg(F.min("read_id").alias("ord"), F.min(F.when(F.col("r").isNotNull(), F.col("read_id"))).alias("from"))
-    # the sums hold numbers only; the sequence is fetched from the chosen reads
+    # one pass, combined before the shuffle: a row for each variant and task goes on, never the reads
     wide = F.substring("seq", F.col("r.start") - 1, F.col("r.stop") - F.col("r.start") + 5)
-    chosen = near.where("r is not null").select("gid", "variant", F.col("read_id").alias("from"), wide.alias("wide"))
-    held = chosen.join(shown.select("gid", "variant", "from"), ["gid", "variant", "from"]).groupBy("gid", "variant").agg(F.min("wide").alias("longer"))
-    return shown.select("gid", "variant", "ord").join(held, ["gid", "variant"], "left")
+    first = F.min(F.when(F.col("r").isNotNull(), F.struct("read_id", wide.alias("wide"))))
+    shown = near.groupBy("gid", "variant").agg(F.min("read_id").alias("ord"), first.alias("first"))
+    return shown.select("gid", "variant", "ord", F.col("first.wide").alias("longer"))
 
 
 def coverage(hits: DataFrame, reach: int | None = None) -> DataFrame:

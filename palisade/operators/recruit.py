@@ -18,10 +18,19 @@ def both_strands(patterns: DataFrame) -> DataFrame:
 
 def nonredundant(variants: DataFrame) -> DataFrame:
     """``(gid, pattern)``: the variants of each group that contain no shorter one of it on either strand, nor (of equal
-    length) its own reverse complement's smaller form, with their reverse complements."""
-    a, b = variants.alias("a"), variants.alias("b")
+    length) its own reverse complement's smaller form, with their reverse complements.  Empty variants are left out.
+
+    What holds a pattern holds its first k bases on one strand, k being the shortest variant's length, so only variants
+    that share such a k-mer are compared."""
+    variants = variants.where("variant <> ''")
+    k = variants.agg(F.min(F.length("variant"))).first()[0] or 1
+    start = S.canonical(F.substring("variant", 1, k)).alias("kmer")
+    cut = variants.select("gid", "variant", F.explode(F.array_distinct(F.transform(S.kmers("variant", k), S.canonical))).alias("kmer"))
+    a, b = cut.alias("a"), variants.select("gid", "variant", start).distinct().alias("b")
     longer = (F.length("a.variant") > F.length("b.variant")) | ((F.length("a.variant") == F.length("b.variant")) & (F.col("a.variant") > F.col("b.variant")))
-    kept = a.join(b, (F.col("a.gid") == F.col("b.gid")) & longer & S.holds_either_strand(F.col("a.variant"), F.col("b.variant")), "left_anti")
+    met = (F.col("a.gid") == F.col("b.gid")) & (F.col("a.kmer") == F.col("b.kmer")) & longer
+    lost = a.join(b, met & S.holds_either_strand(F.col("a.variant"), F.col("b.variant")), "left_semi").select("gid", "variant").distinct()
+    kept = variants.join(lost, ["gid", "variant"], "left_anti")
     kept = kept.select("gid", F.col("variant").alias("pattern"))
     return kept.unionByName(kept.select("gid", S.reverse_complement("pattern").alias("pattern"))).distinct()
 
