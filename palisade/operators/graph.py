@@ -77,10 +77,11 @@ def discounted_coverage(edges: DataFrame, reads: DataFrame) -> DataFrame:
 
     A read goes to each of its nodes once, with all of its nodes beside it, and meets the node's neighbours as one array
     (as many at most as there are k-mers).  The key of that join isn't the one of the sums, so that adaptive execution can
-    split a node that many reads hold.
+    split a node that many reads hold.  The neighbours, which the graph bounds, are hashed within a partition, so that the
+    reads with all their nodes needn't be sorted.
     """
     key = F.concat("src", F.lit("~")).alias("key")
-    onward = edges.where("etype in ('F', 'JF')").groupBy("family", "src").agg(F.collect_set("dst").alias("dsts")).select("family", key, "dsts")
+    onward = edges.where("etype in ('F', 'JF')").groupBy("family", "src").agg(F.collect_set("dst").alias("dsts")).select("family", key, "dsts").hint("shuffle_hash")
     own = reads.select("family", "nodes", F.explode("nodes").alias("src"))
     near = own.select("*", key).join(onward, ["family", "key"]).where(F.arrays_overlap("nodes", "dsts"))
     return near.groupBy("family", F.col("src").alias("node")).agg(F.count("*").alias("discounted"))
