@@ -53,15 +53,24 @@ def one_sided(edges: DataFrame) -> DataFrame:
 
 def node_bubbles(edges: DataFrame, reads: DataFrame) -> DataFrame:
     """``(family, node)``: of nodes on parallel two-step paths between the same ends all but the best by discounted
-    coverage; of equal ones the last in order stays."""
-    a = edges.where("etype in ('F', 'JF')").select("family", F.col("src").alias("root"), F.col("dst").alias("node"))
-    b = edges.where("etype in ('F', 'JF')").select("family", F.col("src").alias("node"), F.col("dst").alias("end"))
-    paths = a.join(b, ["family", "node"]).where("root <> end")
-    many = paths.groupBy("family", "root", "end").agg(F.count("*").alias("n")).where("n > 1")
-    cover = graph.discounted_coverage(edges, reads)
-    ranked = paths.join(many, ["family", "root", "end"]).join(cover, ["family", "node"], "left")
-    place = F.row_number().over(W.partitionBy("family", "root", "end").orderBy(F.coalesce("discounted", F.lit(0)).desc(), F.desc("node")))
-    return ranked.withColumn("place", place).where("place > 1").select("family", "node").distinct()
+    coverage; of equal ones the last in order stays.
+
+    Nodes of a family (as many at most as there are k-mers) are placed from the best on, so that the best between two ends
+    is a minimum, added up before the shuffle.  A node is lost if it lies between two ends more often than it is the best
+    there.
+    """
+    ahead = edges.where("etype in ('F', 'JF')").select("family", "src", "dst")
+    nodes = ahead.select("family", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    best_first = W.partitionBy("family").orderBy(F.coalesce("discounted", F.lit(0)).desc(), F.desc("node"))
+    placed = nodes.join(graph.discounted_coverage(edges, reads), ["family", "node"], "left").select("family", "node", F.row_number().over(best_first).alias("place"))
+    placed = written(placed, "places")
+    steps = ahead.join(placed.select("family", F.col("node").alias("src"), F.col("place").alias("x")), ["family", "src"])
+    steps = written(steps.join(placed.select("family", F.col("node").alias("dst"), F.col("place").alias("y")), ["family", "dst"]).select("family", "x", "y"), "steps")
+    paths = steps.select("family", "x", F.col("y").alias("s")).join(steps.select("family", F.col("x").alias("s"), "y"), ["family", "s"]).where("x <> y")
+    times = paths.groupBy("family", "s").agg(F.count("*").alias("times"))
+    wins = paths.groupBy("family", "x", "y").agg(F.min("s").alias("s")).groupBy("family", "s").agg(F.count("*").alias("wins"))
+    lost = times.join(wins, ["family", "s"], "left").where(F.col("times") > F.coalesce("wins", F.lit(0)))
+    return placed.join(lost.select("family", F.col("s").alias("place")), ["family", "place"], "left_semi").select("family", "node")
 
 
 def cleaned_nodes(edges: DataFrame, coverage: DataFrame, reads: DataFrame, max_rounds: int = 40) -> DataFrame:

@@ -29,7 +29,8 @@ def array_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     reads = Star(spark, sf_dir).reads
     turned = F.when(F.col("read_id") % 2 == 1, S.reverse_complement("seq")).otherwise(F.col("seq"))
-    found = find_arrays(reads.select("read_id", turned.alias("seq")))
+    # the reads are gone through three times and dear to put together
+    found = find_arrays(durable.written(reads.select("read_id", turned.alias("seq")), "reads"))
     n = found["spacers"].groupBy(F.col("family").alias("gid")).agg(F.count("*").alias("spacers"), F.sum("coverage").alias("coverage"), F.count_if("flanker").alias("flankers"))
     return found["groups"].select("gid", "true_dr").join(n, "gid")
 
